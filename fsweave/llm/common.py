@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,21 @@ def runs(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def open_folder(folder: str):
+    """A folder's file system and its path there (local, hdfs and object stores alike)."""
+    return pyarrow.fs.FileSystem.from_uri(folder)
+
+
+def publish(fs, folder: str, name: str, data: bytes) -> str:
+    """Write under a passing name, then rename: an attempt that dies leaves no half file."""
+    fs.create_dir(folder, recursive=True)
+    passing = f"{folder}/_{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(passing) as f:
+        f.write(data)
+    fs.move(passing, f"{folder}/{name}")
+    return f"{folder}/{name}"
+
+
 _PACK = zstandard.ZstdCompressor(level=1)
 _UNPACK = zstandard.ZstdDecompressor()
 

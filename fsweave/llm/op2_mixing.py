@@ -74,7 +74,7 @@ def pivot(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> int:
 
 
 def _rounder(seed: int, level: int, schema: list[str]):
-    def round_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def round_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__h", "__id", "__size"], kind="stable", ignore_index=True)
         p, s = pdf["__p"].to_numpy(float).copy(), pdf["__size"].to_numpy(float)
         rest = pivot(p, s, np.random.default_rng([seed, level, int(key[0]), int(key[1])]))
@@ -155,14 +155,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     from pyspark.sql import Window
 
     plan = plan_mix(docs, residual="nearest", **options)
-    turn = Window.partitionBy("__k", "__n").orderBy("__o")
-    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").cast("long").alias("__k"), word_count().alias("__n"), F.xxhash64("text", "source").alias("__o"))
-    left = left.withColumn("__r", F.row_number().over(turn))
-    right = plan.select(F.col("doc_id").alias("__k2"), F.col("size").alias("__n2"), F.col("copies").alias("__c"), F.col("copies").alias("__o"))
-    right = right.withColumn("__r2", F.row_number().over(Window.partitionBy("__k2", "__n2").orderBy("__o"))).where("__c > 0")
-    on = left["__k"].eqNullSafe(right["__k2"]) & (left["__n"] == right["__n2"]) & (left["__r"] == right["__r2"])
-    joined = left.join(right.drop("__o"), on).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__c"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = ["__k", "__none", "__n"]
+    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__none"), word_count().alias("__n"), F.xxhash64("text", "source").alias("__o"))
+    left = left.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("__o")))
+    copies = plan.where("copies > 0").groupBy(F.coalesce("doc_id", F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__none"), F.col("size").alias("__n")).agg(F.collect_list("copies").alias("__c"))
+    joined = left.join(copies.hint("merge"), key).where(F.col("__r") <= F.size("__c"))
+    times = F.element_at(F.array_sort("__c"), F.size("__c") - F.col("__r") + 1)
+    return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

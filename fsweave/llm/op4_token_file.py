@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, scratch, table
+from .common import open_folder, publish, runs, scratch, table
 
 #: Ids in a block; a block fills whole 64-bit words for any width.
 BLOCK = 4096
@@ -127,21 +125,6 @@ class WordIds(dict):
         return [np.frombuffer(b"".join(map(self.__getitem__, ws)), "<u4") for ws in words]
 
 
-def open_folder(folder: str):
-    """A folder's file system and its path there (local, hdfs and object stores alike)."""
-    return pa.fs.FileSystem.from_uri(folder)
-
-
-def publish(fs, folder: str, name: str, data: bytes) -> str:
-    """Write under a passing name, then rename: an attempt that dies leaves no half file."""
-    fs.create_dir(folder, recursive=True)
-    passing = f"{folder}/_{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(passing) as f:
-        f.write(data)
-    fs.move(passing, f"{folder}/{name}")
-    return f"{folder}/{name}"
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1) -> DataFrame:
     """Encode every whole text, add ``end_id``, and write the ids in ascending doc_id order.
 
