@@ -44,6 +44,7 @@ def sequential_form(m: Machine, limit: int = 512) -> tuple[list[dict], list[str
     no function (an input with two outputs).
     """
     t = trim(m)
+    useful = {q for q in t.states if q in t.finals or any(a != EPS for a, _, _ in t.out(q))}
 
     def settle(pairs: set) -> tuple[str, frozenset] | None:
         done, todo = set(pairs), list(pairs)
@@ -56,6 +57,7 @@ def sequential_form(m: Machine, limit: int = 512) -> tuple[list[dict], list[str
                         return None
                     done.add(s)
                     todo.append(s)
+        done = {s for s in done if s[0] in useful}
         texts = [y for _, y in done]
         first, last = min(texts, default=""), max(texts, default="")
         k = 0
@@ -183,7 +185,7 @@ def apply(df: DataFrame, m: Machine, column: str, to: str) -> DataFrame:
     if is_letter_map(m):
         return df.withColumn(to, translate_column(m, F.col(column)))
     form = sequential_form(m)
-    if form is not None and sum(map(len, form[0])) <= 64:
+    if form is not None and sum(map(len, form[0])) <= 256:
         return df.withColumn(to, aggregate_column(m, F.col(column)))
     return apply_batches(df, m, column, to)
 
