@@ -16,7 +16,7 @@ from .common import hashed_share, staged, table
 #: Bounds of the fit: labelled documents read for it (about), and words of the model.
 FIT_DOCS, WORDS = 20_000, 50_000
 #: Mass of the Dirichlet prior, standard errors taken off a log-odds, score of a neutral token, level of a significant segment.
-PRIOR, ERRORS, DRIFT, LEVEL = 50.0, 2.5, -0.15, 0.05
+PRIOR, ERRORS, DRIFT, LEVEL = 20.0, 2.0, -0.15, 0.05
 EULER = 0.5772156649015329
 _WORD = re.compile(r"[^\W\d_]+")
 

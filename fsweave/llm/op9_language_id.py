@@ -52,7 +52,7 @@ class LanguageModel:
 
     @staticmethod
     def _split(word: str, n: int) -> list[str]:
-        word = f"<{word}>"
+        word = f"<{word}>" if n > 1 else word
         return [word[i : i + n] for i in range(len(word) - n + 1)]
 
     @staticmethod
