@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from itertools import chain
 
@@ -17,7 +18,7 @@ from .common import open_folder, publish, runs, scratch, table
 #: Ids in a block; a block fills whole 64-bit words for any width.
 BLOCK = 4096
 #: Ids after which a task begins another file, and words in a worker's cache.
-ROLL, CACHE = 32 << 20, 400_000
+ROLL, CACHE = 32 << 20, 800_000
 MAGIC = b"FWBITS01"
 _HEAD = struct.Struct("<8sIIQQQ")
 
@@ -98,11 +99,19 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: ASCII upper case to lower case, and signs that end a word without joining what is before them.
+_FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+_SIGNS = b",.;:!?$%&*#|"
+
+
 class WordIds(dict):
     """Chunk between white space -> its ids as little-endian 32-bit integers.
 
     The tokenizer writes white space as one space, drops it, and joins nothing over
-    it, so a text's ids are those of its chunks in turn.
+    it, so a text's ids are those of its chunks in turn.  It also lower-cases, so
+    chunks are looked up in ASCII lower case, unless a special token may be inside,
+    whose spelling counts.  Signs at the end of a word that ends in a letter are
+    tokens of their own, so the word and the signs are looked up apart.
     """
 
     def __init__(self, file: str):
@@ -113,18 +122,46 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(file)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
+    @staticmethod
+    def chunks(text: str | None) -> list[bytes]:
+        data = text.encode() if text else b""
+        return (data if b"<|" in data else data.translate(_FOLD)).split()
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, bytes]:
+        """The word and the signs after it, if they can be looked up apart."""
+        stem = word.rstrip(_SIGNS)
+        if not stem or stem == word or b"<|" in word:
+            return word, b""
+        last = unicodedata.normalize("NFC", stem.decode()[-1].lower())  # some letters become a letter and a mark
+        return (stem, word[len(stem) :]) if last.isalpha() else (word, b"")
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [t.encode().split() if t else [] for t in texts]
+        words = [self.chunks(t) for t in texts]
         if len(self) > CACHE:
             self.clear()
-        missing = list(set(chain.from_iterable(words)).difference(self))
+        apart = {w: self.parts(w) for w in set(chain.from_iterable(words)).difference(self)}
+        missing = list({p for pair in apart.values() for p in pair if p}.difference(self))
         for k in range(0, len(missing), 4096):
             part = missing[k : k + 4096]
             for w, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (stem, signs) in apart.items():
+            if signs:
+                self[w] = self[stem] + self[signs]
         return [np.frombuffer(b"".join(map(self.__getitem__, ws)), "<u4") for ws in words]
 
 
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(file: str) -> WordIds:
+    """The tokenizer and its cache, kept by a worker from task to task."""
+    if file not in _LOADED:
+        _LOADED[file] = WordIds(file)
+    return _LOADED[file]
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1) -> DataFrame:
     """Encode every whole text, add ``end_id``, and write the ids in ascending doc_id order.
 
@@ -142,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
         from pyspark import TaskContext
 
         fs, path = open_folder(folder)
-        cache, part = WordIds(tokenizer_file), TaskContext.get().partitionId()
+        cache, part = word_ids(tokenizer_file), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
         ids, pieces, n, rolled = [], [], 0, 0
 
