@@ -129,12 +129,15 @@ def _windows(shift: int):
     return windows
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     """Merge the batch's fingerprints of a bucket with the runs' (block -1).
 
     Gives the new run's part (block -1): fingerprints that no run has, or not with so
     small a doc_id; and for each block those whose smallest doc_id lies elsewhere.
     """
+    if not len(batch):
+        return pd.DataFrame([], columns=_NAMES)
+    pdf = pd.concat([batch[_NAMES], runs[_NAMES]], ignore_index=True)
     parts = [Prints.unpacked(*row) for row in pdf[["h", "c", "d"]].itertuples(index=False)]
     sizes = [len(p.h) for p in parts]
     h, c, d = (np.concatenate([getattr(p, k) for p in parts]) for k in "hcd")
@@ -215,48 +218,62 @@ class FingerprintIndex:
     """Immutable sorted runs of window fingerprints under ``path``.
 
     ``buckets``, a power of two, parts the keys; choose it for the size expected.  A
-    run has one row for each bucket with its keys ascending, so that a batch is merged
-    bucket by bucket; nothing is ever changed in place.
+    run has one row for each bucket, with its keys ascending.  All runs are bucketed by
+    bucket into ``files`` files, so that a batch is merged with them without moving
+    them.  A run counts once its name is noted in ``_runs``; compaction writes the
+    next generation and drops the one before when that is whole.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int, files: int = 64):
+        self.spark, self.path, self.buckets, self.files = spark, path, buckets, files
         self.shift = 64 - (buckets.bit_length() - 1)
+        whole = [int(n[4:]) for n in self._names(path) if n.startswith("gen-") and self._names(f"{path}/{n}/_runs")]
+        self._open(max(whole, default=1))
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def runs(self) -> list[str]:
-        """Runs that were written to their end, oldest first."""
-        fs, p = self._fs(self.path)
-        if not fs.exists(p):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-        return [f"{self.path}/{n}" for n in names if n.startswith("run-") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
-
-    def drop(self, path: str) -> None:
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _drop(self, path: str) -> None:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
-    def read(self) -> DataFrame | None:
-        paths = self.runs()
-        return self.spark.read.schema(_ROW).parquet(*(f"{p}/kind=run" for p in paths)) if paths else None
+    def _open(self, generation: int) -> None:
+        self.generation, self.at = generation, f"{self.path}/gen-{generation}"
+        self.name = "fingerprints_" + uuid.uuid5(uuid.NAMESPACE_URL, self.at).hex
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({_ROW}, run string) USING parquet "
+            f"CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.at}'"
+        )
+
+    def runs(self) -> list[str]:
+        """Runs that were written to their end."""
+        return self._names(f"{self.at}/_runs")
+
+    def read(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name).where(F.col("run").isin(self.runs()))
 
-    def new_run(self) -> str:
-        n = max((int(p.rsplit("-", 1)[1]) for p in self.runs()), default=0) + 1
-        return f"{self.path}/run-{n:08d}"
+    def _append(self, rows: DataFrame) -> None:
+        run = uuid.uuid4().hex
+        out = rows.select(*_NAMES, F.lit(run).alias("run"))
+        out.write.bucketBy(self.files, "bucket").sortBy("bucket").mode("append").format("parquet").option("path", self.at).saveAsTable(self.name)
+        fs, p = self._fs(f"{self.at}/_runs/{run}")
+        fs.create(p, True).close()
 
     def compact(self) -> None:
-        """Merge all runs into one, then drop them; a run is dropped only when its successor is whole."""
-        old = self.runs()
-        if len(old) > 1:
-            to = self.new_run()
-            merged = self.read().groupBy("bucket").applyInPandas(_compact, _ROW)
-            merged.withColumn("kind", F.lit("run")).write.partitionBy("kind").parquet(to)
-            for path in old:
-                self.drop(path)
+        """Merge all runs into one."""
+        if len(self.runs()) > 1:
+            merged, old, at = self.read().groupBy("bucket").applyInPandas(_compact, _ROW), self.name, self.at
+            self._open(self.generation + 1)
+            self._drop(self.at)
+            self._append(merged)
+            self.spark.sql(f"DROP TABLE {old}")
+            self._drop(at)
 
     def deduplicate(self, docs: DataFrame, keep_text: bool = False) -> str:
         """Judge one batch against the runs and itself, and add its run; the path of the result.
@@ -265,28 +282,21 @@ class FingerprintIndex:
         shuffled.  What is shuffled are distinct fingerprints of blocks, compressed.
         """
         spark, name = self.spark, f"blocks_{uuid.uuid4().hex}"
-        blocks_at = scratch(spark, "blocks")
+        blocks_at, merged_at, out = scratch(spark, "blocks"), scratch(spark, "merged"), scratch(spark, "substring-dedup")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        rows.mapInArrow(_blocks, "block long, ids binary, body binary").write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", blocks_at).format("parquet").saveAsTable(name)
+        rows.mapInArrow(_blocks, "block long, ids binary, body binary").write.bucketBy(self.files, "block").option("path", blocks_at).format("parquet").saveAsTable(name)
         blocks = spark.table(name)
         prints = blocks.mapInArrow(_windows(self.shift), _ROW)
-        history = self.read()
-        if history is not None:
-            prints = prints.unionByName(history)
-        run = self.new_run()
-        merged = prints.groupBy("bucket").applyInPandas(_merge, _ROW)
-        merged.withColumn("kind", F.when(F.col("block") < 0, "run").otherwise("told")).write.partitionBy("kind").parquet(run)
-        fs, p = self._fs(f"{run}/kind=told")
-        told = spark.read.schema(_ROW).parquet(f"{run}/kind=told") if fs.exists(p) else spark.createDataFrame([], _ROW)
-        told = told.groupBy("block").agg(F.collect_list(F.struct("h", "c", "d")).alias("told"))
+        merged = prints.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInPandas(_merge, _ROW)
+        merged.withColumn("kind", F.when(F.col("block") < 0, "run").otherwise("told")).write.partitionBy("kind").parquet(merged_at)
+        parts = {kind: spark.read.schema(_ROW).parquet(f"{merged_at}/kind={kind}") if f"kind={kind}" in self._names(merged_at) else spark.createDataFrame([], _ROW) for kind in ("run", "told")}
+        told = parts["told"].groupBy("block").agg(F.collect_list(F.struct("h", "c", "d")).alias("told"))
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-        out = scratch(spark, "substring-dedup")
         blocks.join(told.hint("merge"), "block", "left").select("ids", "body", "told").mapInArrow(_cut(keep_text), schema).write.parquet(out)
         spark.sql(f"DROP TABLE {name}")
-        self.drop(blocks_at)
-        self.drop(f"{run}/kind=told")
-        if not fs.exists(self._fs(f"{run}/kind=run")[1]):
-            self.drop(run)
+        self._drop(blocks_at)
+        self._append(parts["run"])
+        self._drop(merged_at)
         if len(self.runs()) >= FAN:
             self.compact()
         return out
@@ -314,7 +324,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
     cuts = sorted({int(c) for c in rows.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []}) if batches > 1 else []
     if index is None:
         chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets_for(chars))
+        index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets_for(chars), int(spark.conf.get("spark.sql.shuffle.partitions")))
     paths = []
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = rows
