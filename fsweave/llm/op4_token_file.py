@@ -121,12 +121,20 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        plain = Tokenizer(self.tokenizer.model)  # the same without normalizing and special tokens
+        plain.pre_tokenizer = self.tokenizer.pre_tokenizer
+        self.plain = getattr(plain, "encode_batch_fast", plain.encode_batch)
 
     @staticmethod
     def chunks(text: str | None) -> list[bytes]:
         data = text.encode() if text else b""
         return (data if b"<|" in data else data.translate(_FOLD)).split()
 
+    @staticmethod
+    def is_normal(text: str) -> bool:
+        """Whether normalizing leaves a chunk as it is and no special token can be in it."""
+        return "<|" not in text and text.lower() == text and (text.isascii() or (unicodedata.is_normalized("NFC", text) and not any(c.isspace() for c in text)))
+
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
         """The word and the signs after it, if they can be looked up apart."""
@@ -138,14 +146,19 @@ class WordIds(dict):
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [self.chunks(t) for t in texts]
-        if len(self) > CACHE:
-            self.clear()
+        if len(self) > CACHE:  # what came first is what is frequent
+            for w in list(self)[CACHE // 2 :]:
+                del self[w]
         apart = {w: self.parts(w) for w in set(chain.from_iterable(words)).difference(self)}
         missing = list({p for pair in apart.values() for p in pair if p}.difference(self))
         for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for w, e in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            kinds: tuple[list[str], list[str]] = ([], [])
+            for w in missing[k : k + 4096]:
+                text = w.decode()
+                kinds[self.is_normal(text)].append(text)
+            for batch, texts in zip((self.batch, self.plain), kinds):
+                for text, e in zip(texts, batch(texts, add_special_tokens=False)):
+                    self[text.encode()] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         for w, (stem, signs) in apart.items():
             if signs:
                 self[w] = self[stem] + self[signs]
