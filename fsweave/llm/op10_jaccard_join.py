@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, pack_ints, runs, scratch, staged, table, unpack_ints, window_hashes
 
 #: Bytes of text and documents in a block, members of a group, queries that meet a group in one task, tokens for which a bucket is meant.
-BLOCK_BYTES, BLOCK_DOCS, GROUP, QUERIES, BUCKET_TOKENS = 4 << 20, 4096, 32, 512, 1 << 19
+BLOCK_BYTES, BLOCK_DOCS, GROUP, QUERIES, BUCKET_TOKENS = 2 << 20, 4096, 32, 512, 1 << 19
 #: Fixed odd multipliers of the shingle hash and of the min-hashes.
 BASE, SEEDS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Bits kept of a shingle's hash for comparing sets; sizes are counted with all 64.
@@ -266,7 +266,7 @@ def _shared(pdf):
 
 def _prefixes(num: int, den: int):
     def prefixes(batches):
-        """Prefix tokens, rarest first, that other sets have too: token, rid, n, gid, label."""
+        """Prefix tokens, rarest first, that other sets have too: token, rid, n, tokens of the set that no other has, prefix tokens given."""
         for batch in batches:
             for sizes, flat, told, more in zip(*(batch.column(k) for k in ("sizes", "flat", "rows", "more"))):
                 block = SetBlock.unpack(sizes.as_py(), flat.as_py())
@@ -277,15 +277,16 @@ def _prefixes(num: int, den: int):
                 order = np.argsort(tokens)
                 tokens, n = tokens[order], n[order]
                 rows = []
-                for rid, size, gid, label in told.as_py():
+                for rid, size in told.as_py():
                     s = block[rid & 8191]
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     many = np.where(tokens[at] == s, n[at], 1)
                     keep = size - -(-num * size // den) + 1 + (len(s) - size)
                     first = np.lexsort((s, many))[: max(1, keep)]
-                    rows += [(int(s[k]), rid, size, gid, label) for k in first[many[first] > 1]]
+                    given, alone = first[many[first] > 1], int((many == 1).sum())
+                    rows += [(int(s[k]), rid, size, alone, len(given)) for k in given]
                 if rows:
-                    yield _batch("tok long, rid long, n long, gid long, label long", rows)
+                    yield _batch("tok long, rid long, n long, u long, k long", rows)
 
     return prefixes
 
@@ -296,11 +297,12 @@ def link(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) -> tuple[
     1. Equal sets become one node.  2. Nodes with a common min-hash are compared in
     groups of about 32, for three min-hashes; this joins most of what is alike.
     3. Nodes are partitioned into groups: parts of a component, or nodes with a common
-    min-hash.  The token-group matrix has a row for each token of a member's prefix
-    and group.  A node meets the groups that share a token of its prefix, except those
-    of its own component; the union of a group's tokens bounds the overlap; only groups
-    that can qualify are opened.  As tokens are ordered by the number of sets that have
-    them, and two sets at the threshold share a prefix token, no link between
+    min-hash, that have about as many shared tokens in their prefix.  The token-group
+    matrix has a row for each token of a member's prefix and group.  Members of a group
+    meet each other.  A node meets the groups that share a token of its prefix, except
+    those of its own component; the union of a group's tokens bounds the overlap; only
+    groups that can qualify are opened.  As tokens are ordered by the number of sets
+    that have them, and two sets at the threshold share a prefix token, no link between
     components is lost.  4. Components of all links.
     """
     spark = docs.sparkSession
@@ -324,30 +326,39 @@ def link(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) -> tuple[
     links = found[0].unionByName(found[1]).unionByName(found[2])
     comps = components(links)
 
-    linked = grouped(comps, "comp").select("rid", F.xxhash64(F.lit(1), "comp", part(GROUP)).alias("gid"), F.xxhash64(F.lit(2), "comp").alias("label"))
-    single = grouped(nodes.join(comps.hint("merge"), "rid", "left_anti").select("rid", "m0"), "m0").select("rid", F.xxhash64(F.lit(3), "m0", part(GROUP)).alias("gid"))
-    single = single.withColumn("label", F.col("gid"))
-    groups = staged(nodes.select("rid", "n").join(linked.unionByName(single).hint("merge"), "rid"), "groups")
-
     total = nodes.agg(F.sum("n")).first()[0] or 0
     shift = BITS - max(6, int(total // BUCKET_TOKENS).bit_length())
     counts = sets.with_rows(nodes.select("rid")).mapInArrow(_counts(shift), "bucket long, blk long, t binary, n binary")
     told = staged(counts.groupBy("bucket").applyInPandas(_shared, "blk long, t binary, n binary"), "shared-tokens")
     told = told.groupBy("blk").agg(F.collect_list(F.struct("t", "n")).alias("more"))
-    matrix = sets.with_rows(groups.select("rid", "n", "gid", "label"), told).mapInArrow(_prefixes(num, den), "tok long, rid long, n long, gid long, label long")
-    matrix = staged(matrix, "token-groups")
+    matrix = sets.with_rows(nodes.select("rid", "n"), told).mapInArrow(_prefixes(num, den), "tok long, rid long, n long, u long, k long")
+    matrix = staged(matrix, "prefix-tokens")
+
+    # groups of what can still have a link: of one component, or of one min-hash, and with about as many shared prefix tokens
+    live = matrix.groupBy("rid").agg(F.first("n").alias("n"), F.ceil(F.log2(F.first("k") + 1)).alias("band"))
+    live = live.join(comps.hint("merge"), "rid", "left").join(nodes.select("rid", "m0").hint("merge"), "rid")
+    live = staged(live.select("rid", "n", F.xxhash64(F.col("comp").isNull(), F.coalesce("comp", "m0"), "band").alias("like"), "comp"), "live")
+    groups = grouped(live, "like").select("rid", "n", F.xxhash64("like", part(GROUP)).alias("gid"), "comp")
+    groups = staged(groups.select("rid", "n", "gid", F.when(F.col("comp").isNull(), F.col("gid")).otherwise(F.xxhash64(F.lit(2), "comp")).alias("label")), "groups")
+    # members of one group that are of no component yet meet each other
+    alone = grouped(groups.where("gid = label").select("rid", "n", F.col("gid").alias("tag")), "tag").where("many > 1")
+    inner = staged(_tagged(sets.fetch(alone.select("rid", "n", "tag", F.lit(0).alias("role"))), _within(num, den)), "links")
+    matrix = staged(matrix.join(groups.select("rid", "gid", "label").hint("merge"), "rid"), "token-groups")
     useful = staged(matrix.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("tok"), "useful-tokens")
     matrix = staged(matrix.join(useful.hint("merge"), "tok"), "token-groups")
-    sides = staged(matrix.groupBy("tok", "gid", "label").agg(F.min("n").alias("low"), F.max("n").alias("high")), "group-tokens")
-    q = matrix.select("tok", "rid", "n", F.col("gid").alias("own"), F.col("label").alias("mine"))
-    fits = (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num)
+    sides = staged(matrix.groupBy("tok", "gid", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("u").alias("least")), "group-tokens")
+    q = matrix.select("tok", "rid", "n", "u", F.col("gid").alias("own"), F.col("label").alias("mine"))
+    n, u, least = F.col("n"), F.col("u"), F.col("least")
+    fits = (n * den >= F.col("low") * num) & (F.col("high") * den >= n * num)
+    # what a set has alone is in the union and not in the overlap
+    fits = fits & ((n - u) * den >= (n + least) * num) & ((F.col("high") - least) * den >= (n + least) * num)
     pairs = q.join(sides.hint("merge"), "tok").where((F.col("own") < F.col("gid")) & (F.col("mine") != F.col("label")) & fits)
     pairs = staged(pairs.groupBy("rid", "gid").agg(F.first("n").alias("n")), "candidates")
     load = staged(pairs.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts")), "group-loads")
     queries = pairs.join(load.hint("merge"), "gid").select("rid", "n", F.xxhash64("gid", F.pmod(F.xxhash64("rid"), "parts")).alias("tag"), F.lit(1).alias("role"))
     members = groups.join(load.hint("merge"), "gid").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     members = members.select("rid", "n", F.xxhash64("gid", "part").alias("tag"), F.lit(0).alias("role"))
-    more = staged(_tagged(sets.fetch(queries.unionByName(members)), _open(num, den)), "links")
+    more = staged(_tagged(sets.fetch(queries.unionByName(members)), _open(num, den)).unionByName(inner), "links")
     if more.limit(1).count():
         comps = components(links.unionByName(more))
     whole = nodes.join(comps.hint("merge"), "rid", "left").select("k1", "k2", "n", F.coalesce("comp", "rid").alias("comp"), "first_id")
