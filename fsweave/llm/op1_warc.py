@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import open_folder, publish, scratch, staged, table
 
-#: Bytes after which a writer begins another file, up to which Spark hands a file to its reader, and of one record at most.
-ROLL, INLINE, LARGEST = 32 << 20, 64 << 20, 1 << 30
-_CHUNK = 1 << 20
+#: Bytes after which a writer begins another file, up to which Spark hands a file to its reader, and up to which an unpacked gzip member stays in memory.
+ROLL, INLINE, SPOOL = 32 << 20, 64 << 20, 64 << 20
+#: Bytes searched, and unpacked, at once.
+_CHUNK, _PIECE = 1 << 20, 1 << 16
 _GZIP, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -76,6 +78,7 @@ class Source:
 
     def __init__(self, data: bytes | None = None, file=None, size: int = 0):
         self.data, self.file, self.size = data, file, len(data) if data is not None else size
+        self.last: dict[bytes, tuple[int, int]] = {}
 
     def read(self, at: int, n: int) -> bytes:
         if self.data is not None:
@@ -84,6 +87,13 @@ class Source:
         return self.file.read(max(0, min(n, self.size - at)))
 
     def find(self, what: bytes, at: int) -> int:
+        """The first place from ``at`` on; a stretch known from the last search is not read again."""
+        since, found = self.last.get(what, (0, 0))
+        if not since <= at <= (found if found >= 0 else self.size):
+            self.last[what] = since, found = at, self._find(what, at)
+        return found
+
+    def _find(self, what: bytes, at: int) -> int:
         while at < self.size:
             chunk = self.read(at, _CHUNK + len(what) - 1)
             k = chunk.find(what)
@@ -94,15 +104,21 @@ class Source:
 
 
 def parse_record(source: Source, at: int) -> Entry:
-    """The record at ``at``, all checks passed; else raises Damage."""
+    """The record at ``at``, all checks passed; else raises Damage.
+
+    A header may have any length.  It is given up at its first line that is no field, so
+    that a damaged one is not followed through the file.
+    """
     head = source.read(at, 4096)
+    if not re.match(rb"WARC/1\.\d\r\n", head):
+        raise Damage("no version line")
     while (k := head.find(_END)) < 0:
-        if len(head) >= _CHUNK or at + len(head) >= source.size:
+        if any(b":" not in x and x[:1] not in (b" ", b"\t") for x in head.split(b"\r\n")[1:-1]):
+            raise Damage("header field without colon")
+        if at + len(head) >= source.size:
             raise Damage("header without end")
         head = source.read(at, 4 * len(head))
     lines = head[:k].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.\d", lines[0]):
-        raise Damage("no version line")
     headers: dict[str, str] = {}
     name = ""
     for line in lines[1:]:
@@ -116,15 +132,14 @@ def parse_record(source: Source, at: int) -> Entry:
             raise Damage("header field without colon")
         headers[name] = value.strip()
     length = headers.get("content-length", "")
-    if not length.isascii() or not length.isdigit() or int(length) > LARGEST:
+    if not length.isascii() or not length.isdigit() or len(length) > 18:
         raise Damage("bad Content-Length")
     if "warc-type" not in headers or "warc-record-id" not in headers:
         raise Damage("mandatory field missing")
     n = int(length)
-    body = source.read(at + k + 4, n + 4)
-    if body[n:] != _END:
+    if source.read(at + k + 4 + n, 4) != _END:  # before the block is read, since the length may be wrong
         raise Damage("record does not end where its length says")
-    entry = Entry(at, at + k + 8 + n, headers, body[:n])
+    entry = Entry(at, at + k + 8 + n, headers, source.read(at + k + 4, n))
     _check_digest(headers.get("warc-block-digest"), entry.block, "block")
     if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
         top, found, _ = entry.block.partition(_END)
@@ -142,24 +157,22 @@ def _check_digest(said: str | None, data: bytes, what: str) -> None:
         raise Damage(f"{what} digest differs")
 
 
-def _member(source: Source, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at``, unpacked and checked, and where it ends."""
-    engine, out, size = zlib.decompressobj(31), [], 0
+def _member(source: Source, at: int) -> tuple[Source, int]:
+    """The gzip member at ``at``, unpacked and checked, and where it ends.  A large one is unpacked to disk."""
+    engine, out = zlib.decompressobj(31), tempfile.SpooledTemporaryFile(SPOOL)
     while not engine.eof:
-        chunk = source.read(at, _CHUNK)
+        chunk = source.read(at, _PIECE)
         if not chunk:
             raise Damage("gzip member is cut short")
         try:
-            out.append(engine.decompress(chunk))
+            piece = engine.decompress(chunk)
         except zlib.error as e:
             raise Damage(f"gzip: {e}") from None
-        if not size and out[-1] and not _VERSION.startswith(out[-1][: len(_VERSION)]):
+        if not out.tell() and piece and not _VERSION.startswith(piece[: len(_VERSION)]):
             raise Damage("gzip member without version line")
-        size += len(out[-1])
-        if size > LARGEST:
-            raise Damage("gzip member is too large")
+        out.write(piece)
         at += len(chunk) - len(engine.unused_data)
-    return b"".join(out), at
+    return Source(file=out, size=out.tell()), at
 
 
 def _unit(source: Source, at: int) -> list[Entry]:
@@ -167,12 +180,13 @@ def _unit(source: Source, at: int) -> list[Entry]:
     if source.read(at, 3) != _GZIP:
         return [parse_record(source, at)]
     data, stop = _member(source, at)
-    inner, entries, k = Source(data), [], 0
-    while k < len(data):
-        e = parse_record(inner, k)
-        k = e.stop
-        e.start, e.stop = at, stop
-        entries.append(e)
+    entries, k = [], 0
+    with data.file:
+        while k < data.size:
+            e = parse_record(data, k)
+            k = e.stop
+            e.start, e.stop = at, stop
+            entries.append(e)
     return entries
 
 
@@ -256,10 +270,10 @@ def write_warc(pages: DataFrame, folder: str, smallest: int = 0, gzip: bool = Tr
 _READ = "file string, start long, stop long, reason string, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload binary, payload_bytes long"
 
 
-def _rows(file: str, source: Source) -> Iterator[pa.RecordBatch]:
+def _rows(file: str, source: Source, written: dict[str, int] | None = None) -> Iterator[pa.RecordBatch]:
     names = [f.split(" ")[0] for f in _READ.split(", ")]
     kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split(" ")[1]] for f in _READ.split(", ")]
-    held, size = [], 0
+    held, size, found = [], 0, 0
 
     def flush():
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held), kinds)], names=names)
@@ -274,34 +288,46 @@ def _rows(file: str, source: Source) -> Iterator[pa.RecordBatch]:
             n = int(full) if h["warc-type"] == "revisit" and full.isdigit() else len(e.payload)
             held.append((file, e.start, e.stop, None, h["warc-type"], h["warc-record-id"].strip("<>"), h.get("warc-target-uri"), h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, digest, e.payload, n))
             size += len(e.payload)
+            found += 1
         if size >= 8 << 20 or len(held) >= 5000:
             yield flush()
             held, size = [], 0
     if held:
         yield flush()
+    if written is not None and found != written[_name(file)]:
+        raise ValueError(f"{file}: {found} records read, {written[_name(file)]} written")
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+def _name(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
+def read_warc(spark: SparkSession, folder: str, written: dict[str, int] | None = None) -> DataFrame:
     """Records and quarantined gaps of all WARC files in ``folder``.
 
     A gap has file, start, stop and reason, and nulls elsewhere.  Files up to 64 MB come
     through Spark and may lie in any store that it reads; larger ones are read in
     chunks through their own file system.  A revisit's payload is empty; its digest and
     payload_bytes are those of the full payload.
+
+    With ``written``, the number of records of each file by its name, it is an error if
+    a file is missing or has more or fewer.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(folder)
+    if written is not None and sorted(map(_name, files.inputFiles())) != sorted(written):
+        raise ValueError(f"{folder} has other files than were written")
 
     def inline(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from _rows(path, Source(content.as_buffer().to_pybytes()))
+                yield from _rows(path, Source(content.as_buffer().to_pybytes()), written)
 
     def streamed(batches):
         for batch in batches:
             for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, name = open_folder(path)
                 with fs.open_input_file(name) as f:
-                    yield from _rows(path, Source(file=f, size=size))
+                    yield from _rows(path, Source(file=f, size=size), written)
 
     small = files.where(F.col("length") <= INLINE).select("path", "content").mapInArrow(inline, _READ)
     large = files.where(F.col("length") > INLINE).select("path", "length").mapInArrow(streamed, _READ)
@@ -309,13 +335,17 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, smallest: int = 0, gzip: bool = True) -> DataFrame:
-    """Write the pages' archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the pages' archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    It is an error if the records read are not as many as were written.
+    """
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
-    if not write_warc(pages, folder, smallest, gzip).agg(F.sum("records")).first()[0]:
+    written = {_name(r.file): r.records for r in write_warc(pages, folder, smallest, gzip).collect()}  # a row for each 32 MB
+    if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1) AS BIGINT)")
-    return read_warc(spark, folder).where(F.col("reason").isNull()).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
+    return read_warc(spark, folder, written).where(F.col("reason").isNull()).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
