@@ -20,6 +20,7 @@ from .common import open_folder, publish, scratch, staged, table
 ROLL, INLINE, SPOOL = 32 << 20, 64 << 20, 64 << 20
 #: Bytes searched, and unpacked, at once.
 _CHUNK, _PIECE = 1 << 20, 1 << 16
+_CUT = "gzip member is cut short"
 _GZIP, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,7 +71,7 @@ class Entry:
 
 
 class Damage(Exception):
-    """A failed check."""
+    """A failed check: its reason and, for a member with valid records, where the last one ended."""
 
 
 class Source:
@@ -130,6 +131,8 @@ def parse_record(source: Source, at: int) -> Entry:
         name = name.strip().lower()
         if not colon or not name:
             raise Damage("header field without colon")
+        if name in headers and name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
+            raise Damage("header runs into another")
         headers[name] = value.strip()
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit() or len(length) > 18:
@@ -157,37 +160,64 @@ def _check_digest(said: str | None, data: bytes, what: str) -> None:
         raise Damage(f"{what} digest differs")
 
 
-def _member(source: Source, at: int) -> tuple[Source, int]:
-    """The gzip member at ``at``, unpacked and checked, and where it ends.  A large one is unpacked to disk."""
-    engine, out = zlib.decompressobj(31), tempfile.SpooledTemporaryFile(SPOOL)
-    while not engine.eof:
-        chunk = source.read(at, _PIECE)
+def _unpack(source: Source, at: int, enough: int | None = None) -> tuple[Source, int, str]:
+    """What can be unpacked of the gzip member at ``at``, where reading it ended, and what is wrong with it.
+
+    A large member is unpacked to disk.  With ``enough`` it ends at the first byte after
+    which so many bytes are out.  Where a piece fails or has enough, it is taken again
+    byte by byte.
+    """
+    engine, out, fault = zlib.decompressobj(31), tempfile.SpooledTemporaryFile(SPOOL), ""
+    step = _PIECE
+    while not engine.eof and not fault and (enough is None or out.tell() < enough):
+        chunk = source.read(at, step)
         if not chunk:
-            raise Damage("gzip member is cut short")
+            fault = _CUT
+            break
+        before = engine.copy() if step > 1 else None
         try:
             piece = engine.decompress(chunk)
         except zlib.error as e:
-            raise Damage(f"gzip: {e}") from None
-        if not out.tell() and piece and not _VERSION.startswith(piece[: len(_VERSION)]):
-            raise Damage("gzip member without version line")
+            piece, fault = b"", f"gzip: {e}"
+        if before is not None and (fault or (enough is not None and out.tell() + len(piece) >= enough)):
+            engine, step, fault = before, 1, ""
+            continue
         out.write(piece)
         at += len(chunk) - len(engine.unused_data)
-    return Source(file=out, size=out.tell()), at
+    return Source(file=out, size=out.tell()), at, fault
 
 
-def _unit(source: Source, at: int) -> list[Entry]:
-    """The valid member or record at ``at``."""
-    if source.read(at, 3) != _GZIP:
-        return [parse_record(source, at)]
-    data, stop = _member(source, at)
-    entries, k = [], 0
+def _member(source: Source, at: int) -> Iterator[Entry]:
+    """Records of the gzip member at ``at`` and the gaps beside them, which name the unpacked bytes.
+
+    A valid member without content gives nothing.  Raises Damage, with the place up to
+    which the member was used, if it has no valid record or is itself damaged; what
+    comes after its last valid record is left to the caller then.  Members inside a damaged
+    one are read too, since a block cut short swallows what follows it in the file.  The
+    only record of a member that fails gzip's checks is not used: nothing else covers its header.
+    """
+    data, stop, fault = _unpack(source, at)
     with data.file:
-        while k < data.size:
-            e = parse_record(data, k)
-            k = e.stop
+        if fault:
+            used, alone = 0, False
+            for e in salvage(data):
+                if e.headers:
+                    used, alone = e.stop, e.start == 0
+            alone = alone and _next(data, used) == data.size
+            if not used or (alone and fault != _CUT):
+                raise Damage(fault, at)
+            inner, stop, _ = _unpack(source, at, used)
+            inner.file.close()
+            data.size = used
+        for e in salvage(data, not fault):
+            if e.headers is None:
+                if e.start == 0 and e.stop == data.size:
+                    raise Damage(e.reason, at)
+                e.reason += f", unpacked bytes {e.start} to {e.stop}"
             e.start, e.stop = at, stop
-            entries.append(e)
-    return entries
+            yield e
+    if fault:
+        raise Damage(fault, stop)
 
 
 def _next(source: Source, at: int) -> int:
@@ -198,28 +228,39 @@ def _next(source: Source, at: int) -> int:
     return min([k for k in (gz, plain) if k >= 0], default=source.size)
 
 
-def salvage(source: Source) -> Iterator[Entry]:
+def salvage(source: Source, unpacked: bool = False) -> Iterator[Entry]:
     """All valid records in order, and between them the gaps that failed.
 
     After a failed check the search goes on right behind the place where the damaged
     record began, since its length cannot be trusted.  A member or version line found
     there counts only if its record passes all checks; the bytes up to it are one
-    gap with the first failure's reason.  Plain and gzip members may be mixed.
+    gap with the first failure's reason.  Plain and gzip members may be mixed.  The bytes
+    of a member, so far as they can be ``unpacked``, are searched in the same way; a damaged
+    member's gap begins where its last valid record ends, be it of no length.
     """
     at, gap, reason = 0, -1, ""
     while at < source.size:
+        stop = -1
         try:
-            entries = _unit(source, at)
+            if unpacked or source.read(at, 3) != _GZIP:
+                entries = iter([parse_record(source, at)])
+            else:
+                entries = _member(source, at)
+            for e in entries:
+                if gap >= 0:
+                    yield Entry(gap, at, reason=reason)
+                    gap = -1
+                stop = e.stop
+                yield e
         except Damage as e:
+            why, end = e.args if len(e.args) == 2 else (str(e), at)
             if gap < 0:
-                gap, reason = at, str(e)
-            at = _next(source, at + 1)
+                gap, reason = end, why
+            at = _next(source, max(at + 1, end))
             continue
-        if gap >= 0:
-            yield Entry(gap, at, reason=reason)
-            gap = -1
-        yield from entries
-        at = entries[-1].stop if entries else source.size
+        if stop < 0:  # a member without content
+            stop = _unpack(source, at)[1] if gap < 0 else _next(source, at + 1)
+        at = stop
     if gap >= 0:
         yield Entry(gap, source.size, reason=reason)
 

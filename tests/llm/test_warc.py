@@ -41,3 +41,50 @@ def test_a_header_without_end_is_given_up():
     cut = a[: a.index(b"Content-Type: application/http;")]
     assert ids(cut + b) == [None, "1"]
     assert ids(b"WARC/1.1\r\nA: " + b"x" * 3_000_000) == [None]
+
+
+def stored(data):
+    import zlib
+
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def test_an_empty_member_only_advances():
+    a, b, _ = map(pack, records(3))
+    assert ids(pack(b"") + a + pack(b"") + pack(b"") + b + pack(b"")) == ["0", "1"]
+    assert ids(b"junk" + pack(b"") + a) == [None, "0"]
+
+
+@pytest.mark.parametrize("squeeze", [pack, stored])
+def test_members_of_several_records_are_salvaged(squeeze):
+    parts = records(6)
+    after = pack(records(7)[6])
+    bad = [p.replace(b"page 2", b"page X") if k == 2 else p for k, p in enumerate(parts)]
+    assert ids(squeeze(b"".join(bad)) + after) == ["0", "1", None, "3", "4", "5", "6"]
+    bad = [p.replace(b"WARC/1.1", b"W") if k == 0 else p for k, p in enumerate(parts)]
+    assert ids(squeeze(b"".join(bad)) + after) == [None, "1", "2", "3", "4", "5", "6"]
+    whole = bytearray(squeeze(b"".join(parts)))
+    whole[-7] ^= 1  # the checksum
+    assert ids(bytes(whole) + after) == ["0", "1", "2", "3", "4", "5", None, "6"]
+
+
+@pytest.mark.parametrize("squeeze", [pack, stored])
+def test_the_readable_part_of_a_cut_member_is_salvaged(squeeze):
+    import random
+
+    rng = random.Random(3)
+    parts = [warc.page_record(str(i), "u", rng.randbytes(300), None) for i in range(400)]
+    whole = squeeze(b"".join(parts))
+    cut = whole[: len(whole) // 2]
+    found = list(warc.salvage(warc.Source(cut)))
+    got = [e.headers["warc-record-id"] for e in found if e.headers]
+    assert 190 < len(got) < 210 and got == [f"<urn:page:{i}>" for i in range(len(got))]
+    assert found[-1].headers is None and found[-1].stop == len(cut) and found[-1].start == found[-2].stop
+    again = ids(cut + pack(parts[399]) + parts[0])
+    assert [i for i in again if i] == [*map(str, range(len(got))), "399", "0"] and None in again
+
+
+def test_a_header_cut_in_a_value_takes_no_other_record():
+    a, b, _ = records(3)
+    assert ids(a[: a.index(b"1970") + 2] + b"\n" + b) == [None, "1"]
