@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 from fsweave.plans.machine import EPS, Machine
 
@@ -321,20 +322,85 @@ def cross_section(m: Machine, x: Iterable | None = None, y: Iterable | None = No
     return out if (x is None) == (y is None) else out.project(1 if x is not None else 0)
 
 
-def transduce(m: Machine, x: Iterable, longest: int = 10_000) -> Iterator[tuple]:
-    """All outputs of one input, each once; outputs over ``longest`` symbols are not followed."""
+@lru_cache(256)
+def endless_states(m: Machine) -> frozenset:
+    """States on a cycle that reads nothing and writes something."""
+    silent = lambda q: [j for _, j in m.on(q, EPS)]
+    at = {q: k for k, part in enumerate(strong_components(m.states, silent)) for q in part}
+    rings = {at[i] for i, a, b, j in m.arcs if a == EPS and b != EPS and at[i] == at[j]}
+    return frozenset(q for q in m.states if at[q] in rings)
+
+
+def transduce(m: Machine, x: Iterable, longest: int | None = None) -> Iterator[tuple]:
+    """All outputs of one input, each once; with ``longest``, outputs over so many symbols are not followed.
+
+    Without it an input that has endlessly many outputs is an error.  Outputs are nodes
+    of a trie (parent, symbol), so that a step costs the same however long they are.
+    """
     x = tuple(x)
+    live = None
+    if longest is None and (rings := endless_states(m)):  # else every search ends by itself
+        live = _live(m, x)
+        if not all(map(rings.isdisjoint, live)):
+            raise ValueError("this input has endlessly many outputs")
+        if not live:
+            return
+    nodes: list = [(0, None, 0)]
+    number: dict = {}
+
+    def wrote(y: int, b) -> int:
+        if b == EPS:
+            return y
+        k = number.setdefault((y, b), len(nodes))
+        if k == len(nodes):
+            nodes.append((y, b, nodes[y][2] + 1))
+        return k
+
+    def step(s):
+        q, n, y = s
+        if longest is not None and nodes[y][2] > longest:
+            return []
+        out = [(j, n, wrote(y, b)) for b, j in m.on(q, EPS) if live is None or j in live[n]]
+        if n < len(x):
+            out += [(j, n + 1, wrote(y, b)) for b, j in m.on(q, x[n]) if live is None or j in live[n + 1]]
+        return out
+
+    def spelled(y: int) -> tuple:
+        out = []
+        while y:
+            y, b, _ = nodes[y]
+            out.append(b)
+        return tuple(reversed(out))
+
     found = set()
-    seen = closure(
-        ((q, 0, ()) for q in m.starts),
-        lambda s: [] if len(s[2]) > longest else
-        [(j, s[1], (*s[2], b) if b != EPS else s[2]) for b, j in m.on(s[0], EPS)]
-        + ([(j, s[1] + 1, (*s[2], b) if b != EPS else s[2]) for b, j in m.on(s[0], x[s[1]])] if s[1] < len(x) else []),
-    )
-    for q, n, y in seen:
+    for q, n, y in closure(((q, 0, 0) for q in m.starts if live is None or q in live[0]), step):
         if n == len(x) and q in m.finals and y not in found:
             found.add(y)
-            yield y
+            yield spelled(y)
+
+
+def _live(m: Machine, x: tuple) -> list[set]:
+    """The states at each place of ``x`` that are on a path through all of it; empty if there is no path."""
+    silent = lambda q: [j for _, j in m.on(q, EPS)]
+    ahead = [closure(m.starts, silent)]
+    for a in x:
+        ahead.append(closure((j for q in ahead[-1] for _, j in m.on(q, a)), silent))
+        if not ahead[-1]:
+            return []
+    live: list[set] = []
+    good = {q for q in ahead[-1] if q in m.finals}
+    for n in range(len(x), -1, -1):
+        if n < len(x):
+            good = {q for q in ahead[n] if any(j in good for _, j in m.on(q, x[n]))}
+        back: dict = defaultdict(list)
+        for q in ahead[n]:
+            for j in silent(q):
+                back[j].append(q)
+        good = set(closure(good, lambda q: back.get(q, ())))
+        if not good:
+            return []
+        live.append(good)
+    return live[::-1]
 
 
 def relation(m: Machine, longest: int) -> set[tuple[tuple, tuple]]:

@@ -198,8 +198,11 @@ def apply_all(df: DataFrame, machines: list[Machine], column: str, to: str) -> D
     return apply(df, m, column, to)
 
 
-def relation_rows(df: DataFrame, m: Machine, column: str, to: str, longest: int = 10_000) -> DataFrame:
-    """One row for each output of each input, for machines that are no functions."""
+def relation_rows(df: DataFrame, m: Machine, column: str, to: str, longest: int | None = None) -> DataFrame:
+    """One row for each output of each input, for machines that are no functions.
+
+    An input with endlessly many outputs is an error, unless ``longest`` bounds them.
+    """
     shared = df.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
