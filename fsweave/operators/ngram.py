@@ -13,23 +13,25 @@ from pyspark.sql import functions as F
 EOS = "<EOS>"
 
 
-def symbols(df: DataFrame, key: str, column: Column) -> DataFrame:
-    """(key, symbols): a text's characters as an array; an empty text has none."""
-    return df.select(key, F.when(column == "", F.array().cast("array<string>")).otherwise(F.split(column, "")).alias("symbols"))
+def symbols(df: DataFrame, key: str, column: Column, *others: str) -> DataFrame:
+    """(key, symbols) and ``others``: a text's characters as an array; an empty text has none."""
+    return df.select(key, *others, F.when(column == "", F.array().cast("array<string>")).otherwise(F.split(column, "")).alias("symbols"))
 
 
-def ngram_counts(sequences: DataFrame, n: int, sep: str = "") -> DataFrame:
+def ngram_counts(sequences: DataFrame, n: int, sep: str = "", weight: str | None = None) -> DataFrame:
     """(ord, ctx, sym, cnt) for contexts of 0 to n-1 symbols, the end of each sequence included.
 
     ``sequences`` has an array column ``symbols``.  A context is its symbols joined by
     ``sep``; contexts never cross sequences.  Counts are partial before the shuffle.
+    ``weight`` names a column with how often a sequence occurs; without it each row is one.
     """
+    times = F.lit(1) if weight is None else F.col(weight)
     ended = F.array_append(F.col("symbols"), F.lit(EOS))
-    at = sequences.select(ended.alias("s")).select("s", F.posexplode("s").alias("k", "sym"))
+    at = sequences.select(ended.alias("s"), times.alias("times")).select("s", "times", F.posexplode("s").alias("k", "sym"))
     orders = F.explode(F.sequence(F.lit(0), F.least(F.lit(n - 1), F.col("k"))))
-    rows = at.select("s", "k", "sym", orders.alias("ord"))
+    rows = at.select("s", "times", "k", "sym", orders.alias("ord"))
     ctx = F.array_join(F.slice("s", F.col("k") - F.col("ord") + 1, F.col("ord")), sep)
-    return rows.select("ord", ctx.alias("ctx"), "sym").groupBy("ord", "ctx", "sym").agg(F.count(F.lit(1)).alias("cnt"))
+    return rows.select("ord", ctx.alias("ctx"), "sym", "times").groupBy("ord", "ctx", "sym").agg((F.count(F.lit(1)) if weight is None else F.sum("times")).alias("cnt"))
 
 
 def smoothed(counts: DataFrame, alpha: float, alphabet: DataFrame | None = None) -> DataFrame:
