@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow.fs
@@ -18,11 +21,13 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from ``spark.checkpoint.dir``.  Only where that is unset (tests on
-    one machine) a temporary folder is made and remembered in the session.
+    It is read from ``spark.checkpoint.dir``.  Only where that is unset and Spark runs
+    on one machine (tests) a temporary folder is made and remembered in the session.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fsweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,6 +45,88 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Work:
+    """Intermediate tables of one operator; they go when its block ends, whole or failed.
+
+    What the operator returns is staged outside, since it is read later.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.names = spark, scratch(spark, name), []
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.at)
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`staged`, until the block ends."""
+        path = f"{self.at}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+        """``df`` as a bucketed table, until the block ends."""
+        self.names.append(f"{name}_{uuid.uuid4().hex}")
+        df.write.bucketBy(buckets, by).option("path", f"{self.at}/{self.names[-1]}").format("parquet").saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+
+def tidy(batches_to_batches: Callable) -> Callable:
+    """A task's function that gives the memory it freed back to the system when it ends.
+
+    Python workers serve one stage after another, so what one stage leaves behind
+    would count against the next.
+    """
+
+    @wraps(batches_to_batches)
+    def run(batches):
+        forget()
+        try:
+            yield from batches_to_batches(batches)
+        finally:
+            trim_memory()
+
+    return run
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """An object that a worker keeps from task to task of a stage; one at a time, until another stage begins."""
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
+def trim_memory() -> None:
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

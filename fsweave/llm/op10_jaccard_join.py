@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, pack_ints, runs, scratch, staged, table, unpack_ints, window_hashes
+from .common import Work, WordHashes, mix64, pack_ints, runs, staged, table, tidy, unpack_ints, window_hashes
 
-#: Bytes of text and documents in a block, members of a group, queries that meet a group in one task, tokens for which a bucket is meant.
-BLOCK_BYTES, BLOCK_DOCS, GROUP, QUERIES, BUCKET_TOKENS = 2 << 20, 4096, 32, 512, 1 << 19
+#: Bytes of text and documents in a block, members of a group and bytes of their sets (about), queries that meet a group in one task, tokens for which a bucket is meant.
+BLOCK_BYTES, BLOCK_DOCS, GROUP, GROUP_BYTES, QUERIES, BUCKET_TOKENS = 2 << 20, 4096, 256, 4 << 20, 512, 1 << 19
+#: Share of a set's size by which members of a group may differ, in size and in tokens that no other set has.
+BAND = 0.03
 #: Fixed odd multipliers of the shingle hash and of the min-hashes.
 BASE, SEEDS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Bits kept of a shingle's hash for comparing sets; sizes are counted with all 64.
@@ -29,15 +30,6 @@ def shingles(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(window_hashes(hashes.of(ws), min(words, len(ws)), BASE))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two ascending sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
-
-
 class SetBlock:
     """The sets of some documents, one after the other."""
 
@@ -67,6 +59,7 @@ def _batch(names: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _build(words: int):
+    @tidy
     def build(batches):
         """A row for each document (its size, the set's digest, min-hashes), and one with all sets for each block."""
         from pyspark import TaskContext
@@ -101,12 +94,10 @@ def _build(words: int):
 class Sets:
     """The sets of all documents, written once in blocks and bucketed by block; they are never shuffled."""
 
-    def __init__(self, docs: DataFrame, words: int):
-        self.spark, self.path, name = docs.sparkSession, scratch(docs.sparkSession, "sets"), f"sets_{uuid.uuid4().hex}"
+    def __init__(self, docs: DataFrame, words: int, work: Work):
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.mapInArrow(_build(words), _SETS).write.bucketBy(buckets, "blk").option("path", self.path).format("parquet").saveAsTable(name)
-        self.all = self.spark.table(name)
+        buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.all = work.bucketed(rows.mapInArrow(_build(words), _SETS), "sets", buckets, "blk")
         self.docs = self.all.where("rid >= 0").drop("blk", "sizes", "flat")
         self.blocks = self.all.where("rid = -1").select("blk", "sizes", "flat")
 
@@ -120,36 +111,99 @@ class Sets:
     def fetch(self, rows: DataFrame) -> DataFrame:
         """The sets of rows (rid, n, tag, role): the same columns and the set as ``s``."""
 
+        @tidy
         def fetch(batches):
             for batch in batches:
                 for sizes, flat, told in zip(batch.column("sizes"), batch.column("flat"), batch.column("rows")):
                     block = SetBlock.unpack(sizes.as_py(), flat.as_py())
                     told = told.as_py()
-                    for a, b in runs((block.sizes[r[0] & 8191] * 8 + 64 for r in told), 4 << 20):
+                    for a, b in runs((block.sizes[r[0] & 8191] * 8 + 64 for r in told), 2 << 20):
                         yield _batch("rid long, n long, tag long, role long, s binary", [(*r, block[r[0] & 8191].tobytes()) for r in told[a:b]])
 
         return self.with_rows(rows.select("rid", "n", "tag", "role")).mapInArrow(fetch, "rid long, n long, tag long, role long, s binary")
 
 
-def _tagged(rows: DataFrame, work: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
-    """Links (a, b) from ``work`` on each tag's rows (rid, n, role, set), which fit into memory."""
+class Group:
+    """The members of a group: the union of their tokens, and which members have each."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.rids = [m[0] for m in members]
+        self.n = np.array([m[1] for m in members], np.int64)
+        flat = np.concatenate([m[2] for m in members])
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(members), dtype=np.int32), [len(m[2]) for m in members])[order]
+        self.union, starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(starts, len(flat))
+
+    def hits(self, s: np.ndarray) -> np.ndarray:
+        """Where the union has the tokens of ``s``; their number bounds the overlap with any member."""
+        at = np.searchsorted(self.union, s)
+        at[at == len(self.union)] = 0
+        return at[self.union[at] == s]
+
+    def overlaps(self, hits: np.ndarray) -> np.ndarray:
+        """The overlap with each member, from all members' tokens at ``hits``."""
+        a, b = self.starts[hits], self.starts[hits + 1]
+        step = np.ones(int((b - a).sum()), np.int64)
+        if not len(step):
+            return np.zeros(len(self.n), np.int64)
+        step[0] = a[0]
+        ends = np.cumsum(b - a)[:-1]
+        step[ends] = a[1:] - b[:-1] + 1
+        return np.bincount(self.owner[np.cumsum(step)], minlength=len(self.n))
+
+    def similar(self, n: int, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Members at the threshold; the group is opened only if the union's bound allows one."""
+        hits = self.hits(s)
+        if len(hits) * (num + den) < num * (n + int(self.n.min())):
+            return np.empty(0, np.int64)
+        k = self.overlaps(hits)
+        return np.flatnonzero(k * den >= num * (n + self.n - k))
+
+
+def _tagged(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) within each tag's rows (rid, n, tag, role, set).
+
+    A tag's members (role 0) fit into memory.  If there are queries (role 1), these
+    pass one by one and meet the members; else the members meet each other, and pairs
+    that are already joined through others are left out.
+    """
 
+    def among(members: list) -> list[tuple[int, int]]:
+        if len(members) < 2:
+            return []
+        group, forest, links = Group(members), Forest(len(members)), []
+        for i, (rid, n, s) in enumerate(members):
+            for j in group.similar(n, s, num, den):
+                if j < i and forest.root(i) != forest.root(int(j)):
+                    forest.join(i, int(j))
+                    links.append((rid, group.rids[j]))
+        return links
+
+    @tidy
     def run(batches) -> Iterator[pa.RecordBatch]:
-        tag, held, links = None, [], []
+        tag, members, group, links = None, [], None, []
         for batch in batches:
-            for rid, n, t, role, s in zip(*(batch.column(k) for k in range(5))):
-                if (t := t.as_py()) != tag:
-                    links += work(held) if held else []
-                    tag, held = t, []
-                held.append((rid.as_py(), n.as_py(), role.as_py(), np.frombuffer(s.as_py(), np.uint64)))
+            for rid, n, t, role, s in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if t != tag:
+                    if group is None:
+                        links += among(members)
+                    tag, members, group = t, [], None
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if role == 0:
+                    members.append((rid, n, s.copy()))
+                    continue
+                if group is None and members:
+                    group, members = Group(members), []
+                links += [(rid, group.rids[j]) for j in group.similar(n, s, num, den)] if group else []
             if len(links) >= 10_000:
                 yield _batch("a long, b long", links)
                 links = []
-        links += work(held) if held else []
+        links += among(members) if group is None else []
         if links:
             yield _batch("a long, b long", links)
 
-    return rows.repartition("tag").sortWithinPartitions("tag").mapInArrow(run, "a long, b long")
+    return rows.repartition("tag").sortWithinPartitions("tag", "role").mapInArrow(run, "a long, b long")
 
 
 class Forest:
@@ -167,70 +221,26 @@ class Forest:
         self.up[self.root(i)] = self.root(j)
 
 
-def _similar(num: int, den: int):
-    def similar(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
-        if n * den < num * m or m * den < num * n:
-            return False
-        k = overlap(a, b)
-        return k * den >= num * (n + m - k)
-
-    return similar
-
-
-def _within(num: int, den: int):
-    """Compare the members of one group; pairs already joined through others are skipped."""
-    similar = _similar(num, den)
-
-    def work(rows):
-        forest, links = Forest(len(rows)), []
-        for i in range(len(rows)):
-            for j in range(i):
-                if forest.root(i) != forest.root(j) and similar(rows[i][1], rows[i][3], rows[j][1], rows[j][3]):
-                    forest.join(i, j)
-                    links.append((rows[i][0], rows[j][0]))
-        return links
-
-    return work
-
-
-def _open(num: int, den: int):
-    """Bound each query's overlap by the group's token union; open the group only if it suffices."""
-    similar = _similar(num, den)
-
-    def work(rows):
-        members, queries = [r for r in rows if r[2] == 0], [r for r in rows if r[2] == 1]
-        if not members or not queries:
-            return []
-        union = np.unique(np.concatenate([m[3] for m in members]))
-        links = []
-        for rid, n, _, s in queries:
-            if overlap(s, union) * den >= num * n:
-                links += [(rid, m[0]) for m in members if similar(n, s, m[1], m[3])]
-        return links
-
-    return work
-
-
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Work) -> DataFrame:
     """(rid, comp): the smallest rid reachable, for every rid in ``links`` (a, b).
 
     Each round takes the least label among neighbours, then the label's label, and is
     written out; rounds end when no label changes.
     """
-    spark = links.sparkSession
-    both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "labels")
+    both = work.staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = work.staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "labels")
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "l").hint("merge"), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = labels.join(near.hint("merge"), "a").select("a", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = labels.select(F.col("a").alias("l"), F.col("l").alias("j"))
-        new = staged(step.join(jump.hint("merge"), "l").select("a", "old", F.least("l", "j").alias("l")), "labels")
+        new = work.staged(step.join(jump.hint("merge"), "l").select("a", "old", F.least("l", "j").alias("l")), "labels")
         labels = new.select("a", "l")
         if new.where("l <> old").limit(1).count() == 0:
             return labels.select(F.col("a").alias("rid"), F.col("l").alias("comp"))
 
 
 def _counts(shift: int):
+    @tidy
     def counts(batches):
         """Distinct tokens of each block's chosen sets with their number there, parted by high bits."""
         for batch in batches:
@@ -264,105 +274,127 @@ def _shared(pdf):
     return pd.DataFrame(rows, columns=["blk", "t", "n"])
 
 
+_PREFIX = "tok long, rid long, n long, r long, top long"
+
+
 def _prefixes(num: int, den: int):
+    @tidy
     def prefixes(batches):
-        """Prefix tokens, rarest first, that other sets have too: token, rid, n, tokens of the set that no other has, prefix tokens given."""
+        """Prefix tokens, rarest first, that other sets have too: token, rid, n, tokens of the set from there on, and from the first such one on."""
         for batch in batches:
             for sizes, flat, told, more in zip(*(batch.column(k) for k in ("sizes", "flat", "rows", "more"))):
                 block = SetBlock.unpack(sizes.as_py(), flat.as_py())
-                shared = [(np.cumsum(unpack_ints(x["t"], np.uint64), dtype=np.uint64), unpack_ints(x["n"], np.uint32)) for x in more.as_py() or []]
+                shared = [(np.cumsum(unpack_ints(x["t"].as_py(), np.uint64), dtype=np.uint64), unpack_ints(x["n"].as_py(), np.uint32)) for x in more.values or []] if more.is_valid else []
                 if not shared:
                     continue
                 tokens, n = (np.concatenate(x) for x in zip(*shared))
                 order = np.argsort(tokens)
                 tokens, n = tokens[order], n[order]
-                rows = []
+                rows: list[tuple] = []
+                held = 0
+
+                def flush():
+                    columns = [np.concatenate(c) for c in zip(*rows)]
+                    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["tok", "rid", "n", "r", "top"])
+
                 for rid, size in told.as_py():
                     s = block[rid & 8191]
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     many = np.where(tokens[at] == s, n[at], 1)
-                    keep = size - -(-num * size // den) + 1 + (len(s) - size)
-                    first = np.lexsort((s, many))[: max(1, keep)]
-                    given, alone = first[many[first] > 1], int((many == 1).sum())
-                    rows += [(int(s[k]), rid, size, alone, len(given)) for k in given]
+                    keep = max(1, size - -(-num * size // den) + 1 + (len(s) - size))
+                    alone = int((many == 1).sum())
+                    if alone >= keep:  # so many tokens that no other set has that none can be similar
+                        continue
+                    k = np.lexsort((s, many))[alone:keep]
+                    same = np.ones(len(k), np.int64)
+                    rows.append((s[k], same * rid, same * size, len(s) - np.arange(alone, keep), same * (len(s) - alone)))
+                    held += len(k)
+                    if held >= 50_000:
+                        yield flush()
+                        rows, held = [], 0
                 if rows:
-                    yield _batch("tok long, rid long, n long, u long, k long", rows)
+                    yield flush()
 
     return prefixes
 
 
-def link(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, th, n, k1, k2) and the components of sets (k1, k2, n, comp, first_id).
+def link(docs: DataFrame, work: Work, words: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, th, rid, n, k1, k2) and the components of sets (k1, k2, n, comp, first_id).
 
     1. Equal sets become one node.  2. Nodes with a common min-hash are compared in
-    groups of about 32, for three min-hashes; this joins most of what is alike.
-    3. Nodes are partitioned into groups: parts of a component, or nodes with a common
-    min-hash, that have about as many shared tokens in their prefix.  The token-group
-    matrix has a row for each token of a member's prefix and group.  Members of a group
-    meet each other.  A node meets the groups that share a token of its prefix, except
-    those of its own component; the union of a group's tokens bounds the overlap; only
-    groups that can qualify are opened.  As tokens are ordered by the number of sets
-    that have them, and two sets at the threshold share a prefix token, no link between
-    components is lost.  4. Components of all links.
+    groups, for three min-hashes; this joins most of what is alike.  3. Nodes are
+    partitioned into groups: parts of a component, or nodes with a common min-hash,
+    of like size and with as many tokens in common with others.  The token-group matrix
+    has a row for each token of a member's prefix and group.  Members of a group meet
+    each other.  A node meets the groups that share a token of its prefix, except
+    those of its own component, if the tokens from there on can suffice on both sides;
+    the union of a group's tokens bounds the overlap; only groups that can qualify are
+    opened.  4. Components of all links.
+
+    No link between components is lost.  All sets order their tokens alike, those in
+    the fewest sets first.  Two sets of n and m tokens at the threshold have at least
+    a = num * (n + m) / (num + den) in common.  From the first of these on, each of the
+    two has at least a tokens, so the first is in the prefix of both and passes.
     """
-    spark = docs.sparkSession
-    sets = Sets(docs, words)
+    sets = Sets(docs, words, work)
     nodes = sets.docs.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"), *[F.min(m).alias(m) for m in ("m0", "m1", "m2")])
-    nodes = staged(nodes, "nodes")
+    nodes = work.staged(nodes, "nodes")
 
     def grouped(rows: DataFrame, by: str) -> DataFrame:
-        """rows with ``by``'s count as ``many``."""
-        many = staged(rows.groupBy(by).agg(F.count(F.lit(1)).alias("many")), "many")
+        """rows with ``by``'s count as ``many`` and the number of groups it needs as ``parts``."""
+        parts = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") * 8 / GROUP_BYTES))
+        many = work.staged(rows.groupBy(by).agg(F.count(F.lit(1)).alias("many"), parts.alias("parts")), "many")
         return rows.join(many.hint("merge"), by)
 
-    def part(size: int):
-        return F.pmod(F.xxhash64("rid"), F.ceil(F.col("many") / size))
-
+    part = F.pmod(F.xxhash64("rid"), "parts")
     found = []
     for k in range(3):
         rows = grouped(nodes.select("rid", "n", F.col(f"m{k}").alias("m")), "m").where("many > 1")
-        rows = rows.select("rid", "n", F.xxhash64(F.lit(k), "m", part(GROUP)).alias("tag"), F.lit(0).alias("role"))
-        found.append(staged(_tagged(sets.fetch(rows), _within(num, den)), "links"))
+        rows = rows.select("rid", "n", F.xxhash64(F.lit(k), "m", part).alias("tag"), F.lit(0).alias("role"))
+        found.append(work.staged(_tagged(sets.fetch(rows), num, den), "links"))
     links = found[0].unionByName(found[1]).unionByName(found[2])
-    comps = components(links)
+    comps = components(links, work)
 
     total = nodes.agg(F.sum("n")).first()[0] or 0
     shift = BITS - max(6, int(total // BUCKET_TOKENS).bit_length())
     counts = sets.with_rows(nodes.select("rid")).mapInArrow(_counts(shift), "bucket long, blk long, t binary, n binary")
-    told = staged(counts.groupBy("bucket").applyInPandas(_shared, "blk long, t binary, n binary"), "shared-tokens")
+    told = work.staged(counts.groupBy("bucket").applyInPandas(_shared, "blk long, t binary, n binary"), "shared-tokens")
     told = told.groupBy("blk").agg(F.collect_list(F.struct("t", "n")).alias("more"))
-    matrix = sets.with_rows(nodes.select("rid", "n"), told).mapInArrow(_prefixes(num, den), "tok long, rid long, n long, u long, k long")
-    matrix = staged(matrix, "prefix-tokens")
+    matrix = work.staged(sets.with_rows(nodes.select("rid", "n"), told).mapInArrow(_prefixes(num, den), _PREFIX), "prefix-tokens")
+
+    def enough(r: str, n: str, m: str):
+        """Whether ``r`` common tokens can suffice for sets of ``n`` and ``m``."""
+        return F.col(r) * (num + den) >= (F.col(n) + F.col(m)) * num
 
-    # groups of what can still have a link: of one component, or of one min-hash, and with about as many shared prefix tokens
-    live = matrix.groupBy("rid").agg(F.first("n").alias("n"), F.ceil(F.log2(F.first("k") + 1)).alias("band"))
+    # groups of what can still have a link: of one component, or of one min-hash, of like size and rest
+    live = matrix.groupBy("rid").agg(F.first("n").alias("n"), F.first("top").alias("top"))
     live = live.join(comps.hint("merge"), "rid", "left").join(nodes.select("rid", "m0").hint("merge"), "rid")
-    live = staged(live.select("rid", "n", F.xxhash64(F.col("comp").isNull(), F.coalesce("comp", "m0"), "band").alias("like"), "comp"), "live")
-    groups = grouped(live, "like").select("rid", "n", F.xxhash64("like", part(GROUP)).alias("gid"), "comp")
-    groups = staged(groups.select("rid", "n", "gid", F.when(F.col("comp").isNull(), F.col("gid")).otherwise(F.xxhash64(F.lit(2), "comp")).alias("label")), "groups")
+    bands = [F.floor(F.log("n") / float(np.log1p(BAND))), F.floor((F.col("n") - F.col("top")) / (F.col("n") * BAND))]
+    label = F.when(F.col("comp").isNull(), F.xxhash64(F.lit(1), "m0", *bands)).otherwise(F.xxhash64(F.lit(2), "comp"))
+    live = work.staged(live.select("rid", "n", F.xxhash64(label, *bands).alias("like"), label.alias("label"), F.col("comp").isNull().alias("alone")), "live")
+    groups = grouped(live, "like").select("rid", "n", F.xxhash64("like", part).alias("gid"), "label", "alone")
+    groups = work.staged(groups.withColumn("label", F.when(F.col("alone"), F.col("gid")).otherwise(F.col("label"))), "groups")
     # members of one group that are of no component yet meet each other
-    alone = grouped(groups.where("gid = label").select("rid", "n", F.col("gid").alias("tag")), "tag").where("many > 1")
-    inner = staged(_tagged(sets.fetch(alone.select("rid", "n", "tag", F.lit(0).alias("role"))), _within(num, den)), "links")
-    matrix = staged(matrix.join(groups.select("rid", "gid", "label").hint("merge"), "rid"), "token-groups")
-    useful = staged(matrix.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("tok"), "useful-tokens")
-    matrix = staged(matrix.join(useful.hint("merge"), "tok"), "token-groups")
-    sides = staged(matrix.groupBy("tok", "gid", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("u").alias("least")), "group-tokens")
-    q = matrix.select("tok", "rid", "n", "u", F.col("gid").alias("own"), F.col("label").alias("mine"))
-    n, u, least = F.col("n"), F.col("u"), F.col("least")
-    fits = (n * den >= F.col("low") * num) & (F.col("high") * den >= n * num)
-    # what a set has alone is in the union and not in the overlap
-    fits = fits & ((n - u) * den >= (n + least) * num) & ((F.col("high") - least) * den >= (n + least) * num)
+    alone = grouped(groups.where("alone").select("rid", "n", F.col("gid").alias("tag")), "tag").where("many > 1")
+    inner = work.staged(_tagged(sets.fetch(alone.select("rid", "n", "tag", F.lit(0).alias("role"))), num, den), "links")
+    # tokens that sets of several labels have, where the smallest of these leaves room for enough common tokens
+    matrix = work.staged(matrix.drop("top").join(groups.select("rid", "gid", "label").hint("merge"), "rid"), "token-groups")
+    useful = matrix.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low")).where("x <> y").select("tok", "low")
+    matrix = work.staged(matrix.join(work.staged(useful, "useful-tokens").hint("merge"), "tok").where(enough("r", "n", "low")).drop("low"), "token-groups")
+    sides = work.staged(matrix.groupBy("tok", "gid", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("best")), "group-tokens")
+    q = matrix.select("tok", "rid", "n", "r", F.col("gid").alias("own"), F.col("label").alias("mine"))
+    fits = (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num) & enough("r", "n", "low") & enough("best", "n", "low")
     pairs = q.join(sides.hint("merge"), "tok").where((F.col("own") < F.col("gid")) & (F.col("mine") != F.col("label")) & fits)
-    pairs = staged(pairs.groupBy("rid", "gid").agg(F.first("n").alias("n")), "candidates")
-    load = staged(pairs.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts")), "group-loads")
-    queries = pairs.join(load.hint("merge"), "gid").select("rid", "n", F.xxhash64("gid", F.pmod(F.xxhash64("rid"), "parts")).alias("tag"), F.lit(1).alias("role"))
+    pairs = work.staged(pairs.groupBy("rid", "gid").agg(F.first("n").alias("n")), "candidates")
+    load = work.staged(pairs.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts")), "group-loads")
+    queries = pairs.join(load.hint("merge"), "gid").select("rid", "n", F.xxhash64("gid", part).alias("tag"), F.lit(1).alias("role"))
     members = groups.join(load.hint("merge"), "gid").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     members = members.select("rid", "n", F.xxhash64("gid", "part").alias("tag"), F.lit(0).alias("role"))
-    more = staged(_tagged(sets.fetch(queries.unionByName(members)), _open(num, den)).unionByName(inner), "links")
+    more = work.staged(_tagged(sets.fetch(queries.unionByName(members)), num, den).unionByName(inner), "links")
     if more.limit(1).count():
-        comps = components(links.unionByName(more))
+        comps = components(links.unionByName(more), work)
     whole = nodes.join(comps.hint("merge"), "rid", "left").select("k1", "k2", "n", F.coalesce("comp", "rid").alias("comp"), "first_id")
-    return sets.docs.select("doc_id", "th", "n", "k1", "k2"), staged(whole, "components")
+    return sets.docs.select("doc_id", "th", "rid", "n", "k1", "k2"), work.staged(whole, "components")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -372,33 +404,51 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
     empty texts, and texts without words, have no shingles, link with nothing, and are
     their own component.  A null doc_id is linked like others but is no smallest id; it
     is null where its component has no other.  Equal rows are linked.  An empty table
-    gives no rows; columns other than doc_id and text are ignored.
+    gives no rows; columns other than doc_id and text are ignored.  A text may have any
+    length; its set must fit into memory.
 
-    Sets are compared by 48 bits of each shingle's hash; the sizes count all 64.
+    Sets are compared by 48 bits of each shingle's hash; the sizes count all 64.  A
+    token of n sets is taken for another with probability 2**-48 for each pair.
     """
-    rows, comps = link(docs, words, num, den)
-    least = staged(comps.groupBy("comp").agg(F.min("first_id").alias("component_id")), "least")
-    ids = staged(comps.join(least.hint("merge"), "comp").select("k1", "k2", "n", "component_id"), "component-ids")
-    joined = rows.where("n > 0").join(ids.hint("merge"), ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    with Work(docs.sparkSession, "jaccard-join") as work:
+        rows, comps = link(docs, work, words, num, den)
+        least = work.staged(comps.groupBy("comp").agg(F.min("first_id").alias("component_id")), "least")
+        ids = work.staged(comps.join(least.hint("merge"), "comp").select("k1", "k2", "n", "component_id"), "component-ids")
+        joined = rows.where("n > 0").join(ids.hint("merge"), ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return staged(joined.unionByName(none), "jaccard-components")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; all its columns.
 
-    Texts without words are no copies and stay.  Rows that repeat wholly count as copies.
+    Texts without words, null and empty ones among them, are no copies and stay.  Rows
+    with one doc_id and one text count as copies, of which one stays (which of them, if
+    they differ in other columns, is settled by a hash of the whole row).  Null doc_ids
+    come last.  An empty table gives no rows; other columns may have any names.  Whole
+    texts are compared, however long.  Ids and digests are judged; then the texts move
+    once, in a join by doc_id and the text's hash.
     """
-    rows, comps = link(docs, words, num, den)
-    joined = rows.where("n > 0").join(comps.hint("merge"), ["k1", "k2", "n"])
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    best = joined.groupBy("comp").agg(F.min(order).alias("best")).select("best.doc_id", "best.th", F.lit(True).alias("__one"))
-    best = best.unionByName(rows.where("n = 0").select("doc_id", "th", F.lit(False).alias("__one")).distinct())
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__none")]
-    best = staged(best.select(*key, F.col("th").alias("__th"), "__one"), "kept")
-    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key, F.xxhash64("text").alias("__th"))
-    left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__none", "__th").orderBy("__th")))
-    kept = left.join(best.hint("merge"), ["__k", "__none", "__th"]).where("NOT __one OR __n = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    with Work(docs.sparkSession, "keep-one") as work:
+        rows, comps = link(docs, work, words, num, den)
+        joined = rows.where("n > 0").join(comps.hint("merge"), ["k1", "k2", "n"])
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+        best = joined.groupBy("comp").agg(F.min(order).alias("best")).select("best.doc_id", "best.th", F.lit(True).alias("one"))
+        best = best.unionByName(rows.where("n = 0").select("doc_id", "th", F.lit(False).alias("one")).distinct())
+        repeats = rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+        same = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "th"]
+        best = best.select(*same, "one").join(repeats.select(*same, "rows").hint("merge"), ["k", "none", "th"])
+        best = staged(best.withColumn("choose", F.col("one") & (F.col("rows") > 1)).drop("one", "rows"), "kept")
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*named).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    keys = ["k", "none", "th"]
+    kept = packed.join(best.where("NOT choose").drop("choose").hint("merge"), keys).select("row")
+    chosen = best.where("choose").drop("choose")
+    if chosen.limit(1).count():
+        hashed = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in packed.schema["row"].dataType if "map<" not in f.dataType.simpleString()])
+        several = packed.join(chosen.hint("merge"), keys).groupBy(*keys).agg(F.min_by("row", hashed).alias("row"))
+        kept = kept.unionByName(several.select("row"))
+    return kept.select("row.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
