@@ -423,39 +423,70 @@ def _cancel(u: tuple, v: tuple) -> tuple[tuple, tuple] | None:
     return u[k:], v[k:]
 
 
+def _pair_moves(t: Machine, pair: tuple) -> Iterator[tuple]:
+    """Moves of two copies over a common input: (pair, read, write of one, write of the other)."""
+    p, q = pair
+    yield from (((j, q), EPS, b, EPS) for b, j in t.on(p, EPS))
+    yield from (((p, k), EPS, EPS, c) for c, k in t.on(q, EPS))
+    yield from (((j, k), a, b, c) for a, b, j in t.out(p) if a != EPS for c, k in t.on(q, a))
+
+
+def _spelled(trail: list, k: int) -> tuple[tuple, tuple, tuple]:
+    """Input and both outputs along a trail of (parent, read, write, write)."""
+    steps = []
+    while k:
+        k, *labels = trail[k]
+        steps.append(labels)
+    return tuple(tuple(s[i] for s in reversed(steps) if s[i] != EPS) for i in range(3))
+
+
+def _ending(t: Machine, pair: tuple) -> tuple[tuple, tuple, tuple]:
+    """A shortest common input after which both copies of a live pair end, with both outputs."""
+    trail: list = [()]
+    seen, todo = {pair}, deque([(pair, 0)])
+    while todo:
+        pair, k = todo.popleft()
+        if pair[0] in t.finals and pair[1] in t.finals:
+            return _spelled(trail, k)
+        for nxt, *labels in _pair_moves(t, pair):
+            if nxt not in seen:
+                seen.add(nxt)
+                todo.append((nxt, len(trail)))
+                trail.append((k, *labels))
+    raise ValueError("the pair has no common ending")
+
+
 def functional_witness(m: Machine) -> tuple[tuple, tuple, tuple] | None:
     """(x, y, z) with y and z different outputs of x, or None if the machine is a function.
 
     Runs two copies side by side over the same input and tracks by how much one output
-    is ahead.  Two copies that meet in one pair of states with different delays cannot
-    both end well, so a delay seen anew at a known pair already disproves functionality.
+    is ahead.  Only pairs of states with a common ending are followed, so outputs that
+    disagree make a witness with any ending.  Two ways into a pair with different delays
+    cannot both end well either: the ending makes equal outputs of one of them at most.
+    Each pair is followed once, so the search ends; no length is limited.
     """
     t = trim(m)
-
-    def moves(q):
-        return [(a, (b,) if b != EPS else (), j) for a, b, j in t.out(q)]
-
-    start = [((p, q), ((), ()), ((), (), ())) for p in t.starts for q in t.starts]
     live = coreachable_pairs(t)
     delay: dict = {}
-    todo = deque(s for s in start if s[0] in live)
+    trail: list = [()]
+    todo = deque(((p, q), ((), ()), 0) for p in t.starts for q in t.starts if (p, q) in live)
     while todo:
-        (p, q), gap, (x, y, z) = todo.popleft()
-        clash = (p, q) in delay and delay[p, q] != gap
-        if gap is None or clash or (p in t.finals and q in t.finals and gap != ((), ())):
-            witness = _finish(t, p, q, x, y, z)
-            if witness:
-                return witness
-            if gap is None or clash:
-                continue
-        if (p, q) in delay:
+        pair, gap, k = todo.popleft()
+        if pair in delay and delay[pair][0] == gap:
             continue
-        delay[p, q] = gap
-        steps = [((j, q), a, b, (), 1) for a, b, j in moves(p) if a == EPS] + [((p, k), a, (), c, 1) for a, c, k in moves(q) if a == EPS]
-        steps += [((j, k), a, b, c, 0) for a, b, j in moves(p) if a != EPS for a2, c, k in moves(q) if a2 == a]
-        for pair, a, b, c, _ in steps:
-            if pair in live:
-                todo.append((pair, _cancel(gap[0] + b, gap[1] + c), ((*x, a) if a != EPS else x, y + b, z + c)))
+        if gap is None or pair in delay:
+            end = _ending(t, pair)
+            for way in (k, delay.get(pair, (None, k))[1]):
+                x, y, z = (u + v for u, v in zip(_spelled(trail, way), end))
+                if y != z:
+                    return x, y, z
+        delay[pair] = gap, k
+        if pair[0] in t.finals and pair[1] in t.finals and gap != ((), ()):
+            return _spelled(trail, k)
+        for nxt, a, b, c in _pair_moves(t, pair):
+            if nxt in live:
+                todo.append((nxt, _cancel(gap[0] + ((b,) if b != EPS else ()), gap[1] + ((c,) if c != EPS else ())), len(trail)))
+                trail.append((k, a, b, c))
     return None
 
 
@@ -473,31 +504,6 @@ def coreachable_pairs(t: Machine) -> set:
     return set(closure(((p, q) for p in t.finals for q in t.finals), back))
 
 
-def _finish(t: Machine, p, q, x: tuple, y: tuple, z: tuple, limit: int = 10_000) -> tuple | None:
-    """Two different whole outputs that extend the given ones by a common input."""
-    seen, todo = set(), deque([((p, q), x, y, z)])
-    for _ in range(limit):
-        if not todo:
-            return None
-        (p, q), x, y, z = todo.popleft()
-        if p in t.finals and q in t.finals and y != z:
-            return x, y, z
-        if ((p, q), y, z) in seen or len(x) > 64:
-            continue
-        seen.add(((p, q), y, z))
-        for a, b, j in t.out(p):
-            if a == EPS:
-                todo.append(((j, q), x, (*y, b) if b != EPS else y, z))
-        for c, d, k in t.out(q):
-            if c == EPS:
-                todo.append(((p, k), x, y, (*z, d) if d != EPS else z))
-        for a, b, j in t.out(p):
-            if a != EPS:
-                for d, k in t.on(q, a):
-                    todo.append(((j, k), (*x, a), (*y, b) if b != EPS else y, (*z, d) if d != EPS else z))
-    return None
-
-
 def is_functional(m: Machine) -> bool:
     return functional_witness(m) is None
 

@@ -16,21 +16,26 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, in storage that survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fsweave-"))
+        root = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            import tempfile
+
+            root = "file://" + tempfile.mkdtemp(prefix="fsweave-")
+        sc.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 10_000) -> DataFrame:
-    """All rows that ``step`` leads to from ``seed``, each once."""
+    """All rows that ``step`` leads to from ``seed``, each once; an error if ``rounds`` do not suffice."""
     seen = new = cut(seed.distinct())
     for _ in range(rounds):
         new = cut(step(new).select(*seen.columns).distinct().join(seen, seen.columns, "left_anti"))
         if new.isEmpty():
             return seen
         seen = cut(seen.unionByName(new))
-    return seen
+    raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
 def reach(arcs: DataFrame, states: DataFrame, backward: bool = False) -> DataFrame:

@@ -55,19 +55,26 @@ def score(sequences: DataFrame, key: str, counts: DataFrame, n: int, alpha: floa
 
     Every position asks for its contexts of all orders; an equi-join finds those that
     were seen, and the longest one counts.  A position with no seen context is uniform.
+    Contexts are spelled out before the rows part, so that no row carries its sequence.
     """
+    size = F.size("symbols") + int(end)
     s = F.array_append(F.col("symbols"), F.lit(EOS)) if end else F.col("symbols")
-    at = sequences.select(F.col(key), s.alias("s")).select(key, "s", F.posexplode("s").alias("k", "sym"))
-    asked = at.select(key, "k", "sym", "s", F.explode(F.sequence(F.lit(0), F.least(F.lit(n - 1), F.col("k")))).alias("ord"))
-    asked = asked.select(key, "k", "sym", "ord", F.array_join(F.slice("s", F.col("k") - F.col("ord") + 1, F.col("ord")), sep).alias("ctx"))
+    rows = sequences.select(F.col(key).alias("id"), s.alias("s"), size.alias("size"))
+
+    def asks(k):
+        """What position ``k`` (from 0) asks for: the symbol after each of its contexts."""
+        context = lambda o: F.array_join(F.slice("s", k - o + 1, o), sep)
+        return F.transform(F.sequence(F.lit(0), F.least(F.lit(n - 1), k)), lambda o: F.struct(k.alias("k"), F.get("s", k).alias("sym"), o.alias("ord"), context(o).alias("ctx")))
+
+    all_asks = F.flatten(F.transform(F.sequence(F.lit(0), F.col("size") - 1), asks))
+    asked = rows.where("size > 0").select("id", F.explode(all_asks).alias("q")).select("id", "q.k", "q.sym", "q.ord", "q.ctx")
     totals = counts.groupBy("ord", "ctx").agg(F.sum("cnt").alias("total"))
-    hit = asked.join(totals, ["ord", "ctx"]).join(counts, ["ord", "ctx", "sym"], "left")
-    best = hit.groupBy(key, "k").agg(F.max_by(F.struct(F.coalesce("cnt", F.lit(0)).alias("cnt"), "total"), "ord").alias("b"))
+    hit = asked.join(totals, ["ord", "ctx"]).join(counts.select("ord", "ctx", "sym", "cnt"), ["ord", "ctx", "sym"], "left")
+    best = hit.groupBy("id", "k").agg(F.max_by(F.struct(F.coalesce("cnt", F.lit(0)).alias("cnt"), "total"), "ord").alias("b"))
     p = F.ln((F.col("b.cnt") + alpha) / (F.col("b.total") + vocabulary * alpha))
-    found = best.groupBy(key).agg(F.sum(p).alias("logp"), F.count(F.lit(1)).alias("hits"))
-    size = sequences.select(key, (F.size("symbols") + int(end)).alias("size"))
+    found = best.groupBy("id").agg(F.sum(p).alias("seen"), F.count(F.lit(1)).alias("hits"))
     missing = (F.col("size") - F.coalesce("hits", F.lit(0))) * math.log(1 / vocabulary)
-    return size.join(found, key, "left").select(key, (F.coalesce("logp", F.lit(0.0)) + missing).alias("logp"))
+    return rows.select("id", "size").join(found, "id", "left").select(F.col("id").alias(key), (F.coalesce("seen", F.lit(0.0)) + missing).alias("logp"))
 
 
 class NgramModel:
