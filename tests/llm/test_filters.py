@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from fsweave.llm import op4_token_file as tok
@@ -131,7 +132,7 @@ def test_word_lookup_equals_whole_texts():
     alphabet = "abAB'sStTmMdDréÉ̸́ßΣσ12,.!?-_ \n\t\x1c\x85İ<|>漢字क़̣ªʰﬁ"
     for k in range(5000):
         x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) + rng.choice(["", "<|endoftext|>,", "<|ENDOFTEXT|>."])
-        assert list(w.encode([x])[0]) == t.encode(x, add_special_tokens=False).ids, repr(x)
+        assert list(w.encode(pa.array([x]))[0]) == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def test_maximal_segments_equal_definition():
