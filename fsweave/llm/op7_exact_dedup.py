@@ -7,14 +7,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, scratch, staged, table
+from .common import ASCII_SPACE, Work, remove, scratch, staged, table
+
+
+#: Batches in which the query feeds the index.
+BATCHES = 2
+
+
+def best_of():
+    """The order of equal texts: most code points, then smallest doc_id, null ids last."""
+    return F.struct((-F.col("n_cp")).alias("neg"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
 
 
 class DigestIndex:
     """A table of digests, bucketed and sorted by digest, that outlives sessions.
 
-    It lies at ``path``; a session that did not create it registers it again over
-    the same files.  ``buckets`` belongs to the layout and must stay the same.
+    A digest's first entry is made when an anti-join finds that the index lacks it.  A
+    later batch that has it again adds an entry with its own best row and number of
+    rows; nothing is rewritten.  It lies at ``path``; a session that did not create it
+    registers it again over the same files.  ``buckets`` belongs to the layout and must
+    stay the same.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
@@ -22,7 +34,7 @@ class DigestIndex:
         self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
         if not spark.catalog.tableExists(self.name):
             spark.sql(
-                f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, n_cp BIGINT) USING parquet "
+                f"CREATE TABLE {self.name} (digest BINARY, doc_id BIGINT, n_cp BIGINT, n BIGINT, first BOOLEAN) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
             )
 
@@ -30,18 +42,31 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def append(self, fresh: DataFrame) -> None:
-        """Add rows whose digests the index lacks: one sorted file for each bucket."""
-        (
-            fresh.select("digest", "keep_id", F.col("n_cp").cast("long").alias("n_cp"))
-            .repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .format("parquet")
-            .option("path", self.path)
-            .saveAsTable(self.name)
-        )
+    def known(self) -> DataFrame:
+        """A row for each digest: keep_id, n_cp and rows so far; read bucket by bucket, without a shuffle."""
+        out = self.frame().groupBy("digest").agg(F.min(best_of()).alias("best"), F.sum("n").alias("n"))
+        return out.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.neg")).alias("n_cp"), "n")
+
+    def add(self, rows: DataFrame) -> None:
+        """Append a batch (digest, doc_id, n_cp): one sorted file for each bucket.
+
+        The batch is summed first.  What the index lacks, found by a sort-merge anti-join
+        over its buckets, becomes first entries; the rest become further ones.
+        """
+        groups = rows.groupBy("digest").agg(F.min(best_of()).alias("best"), F.count(F.lit(1)).alias("n"))
+        groups = groups.select("digest", F.col("best.id").alias("doc_id"), (-F.col("best.neg")).alias("n_cp"), "n").repartition(self.buckets, "digest")
+        with Work(self.spark, "digest-batch") as work:
+            groups = work.bucketed(groups, "digest_groups", self.buckets, "digest")
+            there = self.frame().where("first").select("digest").hint("merge")
+            fresh = groups.join(there, "digest", "left_anti").withColumn("first", F.lit(True))
+            again = groups.join(there, "digest", "left_semi").withColumn("first", F.lit(False))
+            entries = fresh.unionByName(again).repartition(self.buckets, "digest")
+            entries.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").option("path", self.path).saveAsTable(self.name)
+
+    def drop(self) -> None:
+        """Forget the index and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -51,40 +76,61 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_cp"), F.unhex(F.sha2(bare, 256)).alias("digest"))
 
 
+def judged(rows: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows with their digest's verdict (keep_id, group_size, known)."""
+    return rows.join(verdict.hint("merge"), "digest").select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("known")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Judge a batch against the index and itself, then append what is new.
+    """Judge a batch against the index and itself, then add it to the index.
 
     Of equal texts the one with the most code points stays, then the smallest
-    doc_id (null ids last); a text that the index already holds is not kept again.
+    doc_id (null ids last); a text that the index already holds is not kept again, and
+    its keep_id is the one that the index had.  group_size counts the batch's rows.
     Rows that repeat wholly, doc_id included, tie: each of the tied rows counts as
     kept, as they cannot be told apart.  Null and empty texts are one group.  An
-    empty batch gives no rows.  Columns other than doc_id and text are ignored.
+    empty batch gives no rows.  Texts may have any length.  Columns other than doc_id
+    and text are ignored.
 
     Scale: texts never move, only 32-byte digests do.  Groups are summed before the
     shuffle; the lookup back is a sort-merge join between two plain exchanges, so
     that a digest held by a third of all rows is split at run time.
     """
     rows = staged(digests(docs), "digests")
-    order = F.struct((-F.col("n_cp")).alias("neg"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    groups = rows.groupBy("digest").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("digest", "group_size", F.col("best.id").alias("first_id"), (-F.col("best.neg")).alias("n_cp"))
-    known = index.frame().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
-    groups = staged(groups.join(known.hint("merge"), "digest", "left"), "digest-groups")
-    fresh = groups.join(index.frame().hint("merge"), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"), "n_cp")
-    index.append(fresh)
-    verdict = groups.select("digest", "group_size", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("known", F.lit(False)).alias("known"))
-    return rows.join(verdict.hint("merge"), "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("known")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    groups = rows.groupBy("digest").agg(F.min(best_of()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    known = index.known().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
+    groups = groups.join(known.hint("merge"), "digest", "left")
+    verdict = groups.select("digest", "group_size", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("best.id")).alias("keep_id"), F.coalesce("known", F.lit(False)).alias("known"))
+    verdict = staged(verdict, "digest-groups")
+    index.add(rows)
+    return judged(rows, verdict)
+
+
+def deduplicate_all(docs: DataFrame, index: DigestIndex, batches: int = BATCHES) -> DataFrame:
+    """Feed a table to the index in batches, then judge every row by what the index holds.
+
+    The row that stays is the best of all batches, so a later batch may take over from
+    an earlier one.  Cases are settled as in :func:`deduplicate`, which judges one batch
+    at a time.  Batches are parted by a hash of doc_id and code points; which row is in
+    which does not change the result.
+    """
+    rows = staged(digests(docs), "digests")
+    for k in range(batches):
+        index.add(rows.where(F.pmod(F.xxhash64("doc_id", "n_cp"), F.lit(batches)) == k))
+    return judged(rows, index.known().select("digest", "keep_id", F.col("n").alias("group_size"), F.lit(False).alias("known")))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, scratch(spark, "digest-index"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return deduplicate(table(spark, sf_dir, "documents"), index)
+    out = staged(deduplicate_all(table(spark, sf_dir, "documents"), index), "exact-dedup")
+    index.drop()
+    return out
 
 
 OP7_SQL = r"""
