@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -81,6 +82,18 @@ class Work:
         return self.spark.table(self.names[-1])
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Within the block, a write's shuffle files go when the write is done."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(batches_to_batches: Callable) -> Callable:
     """A task's function that gives the memory it freed back to the system when it ends.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 import numpy as np
@@ -11,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, pack_ints, pack_sorted, scratch, table, unpack_ints, unpack_sorted, window_hashes
+from .common import Work, WordHashes, mix64, pack_ints, pack_sorted, remove, scratch, table, tidy, tidy_shuffles, unpack_ints, unpack_sorted, window_hashes
 
 import zstandard
 
-#: Words of a window; bytes of text in a block; windows for which a bucket is meant; runs that are merged into one.
-WIDTH, BLOCK_BYTES, BUCKET_WINDOWS, FAN = 13, 4 << 20, 1 << 19, 8
+#: Words of a window; bytes of text in a block; windows for which a bucket is meant; runs of a level that are merged into one of the next.
+WIDTH, BLOCK_BYTES, BUCKET_WINDOWS, FAN = 13, 4 << 20, 1 << 19, 2
 #: Fixed odd multipliers of the two fingerprints, and the id of a document without one (after all others).
 BASE_A, BASE_B, NO_ID = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 63) - 1
 
@@ -25,7 +26,7 @@ _NAMES = ["bucket", "block", "n", "h", "c", "d"]
 
 
 class Prints:
-    """Fingerprints of a block's or bucket's windows: key h (64 bits), check c (16 bits), smallest doc_id d."""
+    """Fingerprints of a block's or bucket's windows: key h (64 bits), check c (32 bits), smallest doc_id d."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, d: np.ndarray):
         self.h, self.c, self.d = h, c, d
@@ -57,7 +58,7 @@ class Prints:
 
     @staticmethod
     def unpacked(h: bytes, c: bytes, d: bytes) -> Prints:
-        return Prints(unpack_sorted(h), unpack_ints(c, np.uint16), np.int64(NO_ID) - unpack_ints(d, np.uint64).view(np.int64))
+        return Prints(unpack_sorted(h), unpack_ints(c, np.uint32), np.int64(NO_ID) - unpack_ints(d, np.uint64).view(np.int64))
 
 
 class Block:
@@ -76,7 +77,7 @@ class Block:
         self.owner = owner[self.at]
         doc = self.ids[self.owner] if len(self.at) else np.empty(0, np.int64)
         a, b = window_hashes(x, WIDTH, BASE_A), window_hashes(mix64(x), WIDTH, BASE_B)
-        self.prints = Prints(a[self.at], (b[self.at] >> np.uint64(48)).astype(np.uint16), doc)
+        self.prints = Prints(a[self.at], (b[self.at] >> np.uint64(32)).astype(np.uint32), doc)
 
     @staticmethod
     def pack(ids: list, texts: list[bytes]) -> tuple[bytes, bytes]:
@@ -89,6 +90,7 @@ class Block:
         return Block(known, zstandard.ZstdDecompressor().decompress(body), hashes)
 
 
+@tidy
 def _blocks(batches):
     """Documents as words joined by one space, about BLOCK_BYTES together."""
     from pyspark import TaskContext
@@ -114,6 +116,7 @@ def _blocks(batches):
 
 
 def _windows(shift: int):
+    @tidy
     def windows(batches):
         """The distinct fingerprints of each block, parted by the high bits of h."""
         hashes = WordHashes()
@@ -170,6 +173,7 @@ def _compact(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(keep_text: bool):
+    @tidy
     def cut(batches):
         """Remove covered words of each block's documents, given the smallest doc_ids elsewhere."""
         hashes = WordHashes()
@@ -220,15 +224,21 @@ class FingerprintIndex:
     ``buckets``, a power of two, parts the keys; choose it for the size expected.  A
     run has one row for each bucket, with its keys ascending.  All runs are bucketed by
     bucket into ``files`` files, so that a batch is merged with them without moving
-    them.  A run counts once its name is noted in ``_runs``; compaction writes the
-    next generation and drops the one before when that is whole.
+    them.  Runs have levels: a batch makes one of level 0, and ``fan`` runs of a level
+    are merged into one of the next, so that each fingerprint is rewritten about
+    log(batches) times.  A run counts once its note in ``_runs``, which lists its files,
+    is written; a merged run is noted before the notes and files of its parts go, which
+    at worst leaves fingerprints twice.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, files: int = 64):
-        self.spark, self.path, self.buckets, self.files = spark, path, buckets, files
+    def __init__(self, spark: SparkSession, path: str, buckets: int, files: int = 64, fan: int = FAN):
+        self.spark, self.path, self.buckets, self.files, self.fan = spark, path, buckets, files, fan
         self.shift = 64 - (buckets.bit_length() - 1)
-        whole = [int(n[4:]) for n in self._names(path) if n.startswith("gen-") and self._names(f"{path}/{n}/_runs")]
-        self._open(max(whole, default=1))
+        self.name = "fingerprints_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({_ROW}, run string) USING parquet "
+            f"CLUSTERED BY (bucket) SORTED BY (bucket) INTO {files} BUCKETS LOCATION '{path}'"
+        )
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -238,42 +248,57 @@ class FingerprintIndex:
         fs, p = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _drop(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
-
-    def _open(self, generation: int) -> None:
-        self.generation, self.at = generation, f"{self.path}/gen-{generation}"
-        self.name = "fingerprints_" + uuid.uuid5(uuid.NAMESPACE_URL, self.at).hex
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({_ROW}, run string) USING parquet "
-            f"CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.at}'"
-        )
-
-    def runs(self) -> list[str]:
-        """Runs that were written to their end."""
-        return self._names(f"{self.at}/_runs")
+    def runs(self, level: int | None = None) -> list[str]:
+        """Runs that were written to their end: level, dash, name."""
+        names = self._names(f"{self.path}/_runs")
+        return names if level is None else [n for n in names if int(n.split("-")[0]) == level]
 
-    def read(self) -> DataFrame:
+    def read(self, runs: list[str] | None = None) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name).where(F.col("run").isin(self.runs()))
+        return self.spark.table(self.name).where(F.col("run").isin(self.runs() if runs is None else runs))
 
-    def _append(self, rows: DataFrame) -> None:
-        run = uuid.uuid4().hex
+    def _append(self, rows: DataFrame, level: int = 0) -> None:
+        run, before = f"{level:03d}-{uuid.uuid4().hex}", set(self._names(self.path))
         out = rows.select(*_NAMES, F.lit(run).alias("run"))
-        out.write.bucketBy(self.files, "bucket").sortBy("bucket").mode("append").format("parquet").option("path", self.at).saveAsTable(self.name)
-        fs, p = self._fs(f"{self.at}/_runs/{run}")
-        fs.create(p, True).close()
-
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs()) > 1:
-            merged, old, at = self.read().groupBy("bucket").applyInPandas(_compact, _ROW), self.name, self.at
-            self._open(self.generation + 1)
-            self._drop(self.at)
-            self._append(merged)
-            self.spark.sql(f"DROP TABLE {old}")
-            self._drop(at)
+        out.write.bucketBy(self.files, "bucket").sortBy("bucket").mode("append").format("parquet").option("path", self.path).saveAsTable(self.name)
+        fs, p = self._fs(f"{self.path}/_runs/{run}")
+        note = fs.create(p, True)
+        note.write(bytearray(json.dumps([n for n in self._names(self.path) if n not in before and n[0] not in "._"]).encode()))
+        note.close()
+
+    def _forget(self, runs: list[str]) -> None:
+        """Delete runs' notes, then their files."""
+        for run in runs:
+            fs, p = self._fs(f"{self.path}/_runs/{run}")
+            note = fs.open(p)
+            files = json.loads(bytes(note.readAllBytes()))
+            note.close()
+            fs.delete(p, False)
+            for name in files:
+                remove(self.spark, f"{self.path}/{name}")
+
+    def compact(self, level: int | None = None) -> None:
+        """Merge the runs of a level, or all runs, into one of the next level."""
+        old = self.runs(level)
+        if len(old) > 1:
+            above = 1 + max(int(n.split("-")[0]) for n in old)
+            self._append(self.read(old).groupBy("bucket").applyInPandas(_compact, _ROW), above)
+            self._forget(old)
+
+    def settle(self) -> None:
+        """Merge levels that are full, from the lowest up."""
+        level = 0
+        while self.runs():
+            if len(self.runs(level)) >= self.fan:
+                self.compact(level)
+            level += 1
+            if level > max(int(n.split("-")[0]) for n in self.runs()):
+                break
+
+    def drop(self) -> None:
+        """Forget the index and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
     def deduplicate(self, docs: DataFrame, keep_text: bool = False) -> str:
         """Judge one batch against the runs and itself, and add its run; the path of the result.
@@ -281,24 +306,21 @@ class FingerprintIndex:
         The texts are written once, as compressed blocks bucketed by block, and are not
         shuffled.  What is shuffled are distinct fingerprints of blocks, compressed.
         """
-        spark, name = self.spark, f"blocks_{uuid.uuid4().hex}"
-        blocks_at, merged_at, out = scratch(spark, "blocks"), scratch(spark, "merged"), scratch(spark, "substring-dedup")
+        spark, out = self.spark, scratch(self.spark, "substring-dedup")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        rows.mapInArrow(_blocks, "block long, ids binary, body binary").write.bucketBy(self.files, "block").option("path", blocks_at).format("parquet").saveAsTable(name)
-        blocks = spark.table(name)
-        prints = blocks.mapInArrow(_windows(self.shift), _ROW)
-        merged = prints.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInPandas(_merge, _ROW)
-        merged.withColumn("kind", F.when(F.col("block") < 0, "run").otherwise("told")).write.partitionBy("kind").parquet(merged_at)
-        parts = {kind: spark.read.schema(_ROW).parquet(f"{merged_at}/kind={kind}") if f"kind={kind}" in self._names(merged_at) else spark.createDataFrame([], _ROW) for kind in ("run", "told")}
-        told = parts["told"].groupBy("block").agg(F.collect_list(F.struct("h", "c", "d")).alias("told"))
-        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-        blocks.join(told.hint("merge"), "block", "left").select("ids", "body", "told").mapInArrow(_cut(keep_text), schema).write.parquet(out)
-        spark.sql(f"DROP TABLE {name}")
-        self._drop(blocks_at)
-        self._append(parts["run"])
-        self._drop(merged_at)
-        if len(self.runs()) >= FAN:
-            self.compact()
+        with Work(spark, "substring-batch") as work, tidy_shuffles(spark):
+            merged_at = f"{work.at}/merged"
+            blocks = work.bucketed(rows.mapInArrow(_blocks, "block long, ids binary, body binary"), "blocks", self.files, "block")
+            prints = blocks.mapInArrow(_windows(self.shift), _ROW)
+            merged = prints.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInPandas(_merge, _ROW)
+            merged.withColumn("kind", F.when(F.col("block") < 0, "run").otherwise("told")).write.partitionBy("kind").parquet(merged_at)
+            parts = {kind: spark.read.schema(_ROW).parquet(f"{merged_at}/kind={kind}") if f"kind={kind}" in self._names(merged_at) else spark.createDataFrame([], _ROW) for kind in ("run", "told")}
+            told = parts["told"].groupBy("block").agg(F.collect_list(F.struct("h", "c", "d")).alias("told"))
+            schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+            blocks.join(told.hint("merge"), "block", "left").select("ids", "body", "told").mapInArrow(_cut(keep_text), schema).write.parquet(out)
+            self._append(parts["run"])
+        with tidy_shuffles(spark):
+            self.settle()
         return out
 
 
@@ -307,13 +329,16 @@ def buckets_for(chars: int) -> int:
     return 1 << max(6, (chars // 6 // BUCKET_WINDOWS).bit_length())
 
 
-def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 4, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = 3, keep_text: bool = False) -> DataFrame:
     """Remove each word covered by a 13-word window that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document.
     Batches are ranges of doc_id, ascending; each is merged with the runs before it.
-    A window is known by an 80-bit fingerprint: runs are sorted and merged by 64 bits
-    and each match is verified by 16 bits of an independent hash.
+    A window is known by a 96-bit fingerprint: runs are sorted and merged by 64 bits and
+    each match is verified by 32 bits of a second hash.  Among n different windows
+    n * n / 2 ** 97 false matches are to be expected: 0.0006 at 10 ** 13 windows.  Runs
+    are compacted on the way, two of a level into one.  Without an ``index`` the one that
+    is made is deleted in the end.
 
     Null texts and texts under 13 words have no windows.  Null doc_ids are after all
     others and in the last batch; rows with equal doc_ids do not remove from each
@@ -321,10 +346,12 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = sorted({int(c) for c in rows.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []}) if batches > 1 else []
-    if index is None:
-        chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets_for(chars), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / batches for k in range(1, batches)] or [0.5]
+    size, cuts = rows.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", shares, 1000)).first()
+    cuts = sorted({int(c) for c in cuts or []}) if batches > 1 else []
+    own = index is None
+    if own:
+        index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets_for(size or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
     paths = []
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = rows
@@ -333,7 +360,8 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
         paths.append(index.deduplicate(batch, keep_text))
-        spark._jvm.System.gc()  # lets Spark drop the shuffle files of this batch
+    if own:
+        index.drop()
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return spark.read.schema(schema).parquet(*paths)
 
