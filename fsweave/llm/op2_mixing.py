@@ -6,13 +6,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import Work, staged, table
 
-#: Documents in a leaf of the reduction tree, and children of an inner node.
-LEAF, FAN = 1024, 64
+#: Documents in a leaf of the reduction tree, children of an inner node, and sources up to which their table is broadcast.
+LEAF, FAN, BROADCAST = 1024, 64, 100_000
 EPS = 1e-9
 
 
@@ -38,7 +38,8 @@ def water_fill(sizes: list[int], weights: list[float], total: float, cap: float)
         for i in over:
             targets[i] = cap * sizes[i]
             left -= targets[i]
-        free = [i for i in free if i not in set(over)]
+        full = set(over)
+        free = [i for i in free if i not in full]
     return targets
 
 
@@ -75,37 +76,31 @@ def pivot(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> int:
 
 def _rounder(seed: int, level: int, schema: list[str]):
     def round_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__h", "__id", "__size"], kind="stable", ignore_index=True)
-        p, s = pdf["__p"].to_numpy(float).copy(), pdf["__size"].to_numpy(float)
+        pdf = pdf.sort_values(["h", "k", "none", "th", "size"], kind="stable", ignore_index=True)
+        p, s = pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
         rest = pivot(p, s, np.random.default_rng([seed, level, int(key[0]), int(key[1])]))
-        pdf["__p"] = p
-        pdf["__open"] = np.arange(len(p)) == rest
+        pdf["p"] = p
+        pdf["open"] = np.arange(len(p)) == rest
         return pdf[schema]
 
     return round_group
 
 
-def plan_mix(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, residual: str = "partial") -> DataFrame:
-    """How often each document is taken: doc_id, size, source_size, target, copies, taken.
+def _keys():
+    """A row's doc_id (0 if null, and a flag) and its text's hash."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("th")]
 
-    Sources, ordered by code point with null last, get ``weights`` in turn and share
-    the words of all documents.  A document of a source with target ``t`` and size
-    ``S`` is wanted ``t / S`` times: the whole part for certain, the rest by pivotal
-    rounding in a tree: leaves of about 1,024 documents, whose residuals meet in
-    nodes of 64 children up to one residual for each source.  ``residual`` says what
-    that last document gives: ``partial`` takes the matching part of its words, so
-    that a source meets its target to within a word; ``nearest`` rounds to whole copies.
 
-    Empty and null texts have size 0 and are taken 0 words.  Null doc_ids and
-    repeated rows are units like any other.  No rows give no rows.  The same input
-    gives the same result however it is partitioned.  The table of sources, one row
-    for each, is the only thing that comes to the driver; a hot source is many leaves.
+def _plan(docs: DataFrame, work: Work, weights: Iterable[float], cap: float, seed: int) -> DataFrame:
+    """The plan by units: rows of one source with one doc_id and text, of which there are ``m``.
+
+    Each row is taken ``whole`` times; ``certain`` of the m rows, and one more with
+    probability p, once more.  p is 0 or 1 but for one unit of each source, which is ``open``.
     """
-    weights = list(weights)
-    units = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), word_count().alias("__size"))
-    units = staged(units, "mix-sizes")
-    spark = docs.sparkSession
-    stats = [(r[0], int(r[1]), int(r[2])) for r in units.groupBy("__source").agg(F.sum("__size"), F.count(F.lit(1))).collect()]
+    weights, spark = list(weights), docs.sparkSession
+    rows = docs.select(*_keys(), F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    units = work.staged(rows.groupBy("k", "none", "th", "source", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
+    stats = [(r[0], int(r[1]), int(r[2])) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")), F.count(F.lit(1))).collect()]
     stats.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     sizes = [r[1] for r in stats]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(stats))], sum(sizes), cap)
@@ -113,55 +108,101 @@ def plan_mix(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), cap: float =
     rates = [min(cap, t / s) if s else 0.0 for t, s in zip(targets, sizes)]
     spec = spark.createDataFrame(
         [(r[0], i, r[1], t, rate, n) for i, (r, t, rate, n) in enumerate(zip(stats, targets, rates, leaves))],
-        "__source string, __s int, __source_size long, __target double, __rate double, __leaves int",
+        "name string, s int, source_size long, target double, rate double, leaves int",
     )
-    units = units.join(F.broadcast(spec), units["__source"].eqNullSafe(spec["__source"])).drop(units["__source"]).drop(spec["__source"])
-    hashed = F.xxhash64(F.lit(seed), "__id", "__size")
-    whole = F.floor(F.col("__rate") + EPS)
-    units = units.select("__id", "__size", "__s", "__source_size", "__target", whole.alias("__whole"), F.greatest(F.lit(0.0), F.col("__rate") - whole).alias("__p"), hashed.alias("__h"), F.pmod(hashed, "__leaves").cast("int").alias("__b"))
-    settled = (F.col("__size") == 0) | (F.col("__p") <= EPS)
-    done = [units.where(settled).withColumn("__p", F.lit(0.0)).withColumn("__open", F.lit(False))]
-    names = done[0].columns
+    if len(stats) <= BROADCAST:
+        spec = F.broadcast(spec)
+    whole, hashed = F.floor(F.col("rate") + EPS), F.xxhash64(F.lit(seed), "k", "none", "th", "size")
+    share = F.col("m") * F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))
+    units = units.join(spec, units["source"].eqNullSafe(spec["name"])).drop("name").withColumn("whole", whole).withColumn("certain", F.when(F.col("size") > 0, F.floor(share + EPS)).otherwise(F.lit(0).cast("long")))
+    units = units.withColumn("p", F.greatest(F.lit(0.0), share - F.col("certain"))).withColumn("h", hashed).withColumn("b", F.pmod("h", "leaves").cast("int")).drop("rate", "leaves")
+    settled = (F.col("size") == 0) | (F.col("p") <= EPS)
+    done = [units.where(settled).withColumn("p", F.lit(0.0)).withColumn("open", F.lit(False)).drop("h", "b")]
     todo = units.where(~settled)
-    blocks, level = max(leaves, default=1), 0
+    names, blocks, level = [*todo.columns, "open"], max(leaves, default=1), 0
     while True:
-        rounded = staged(todo.groupBy("__s", "__b").applyInPandas(_rounder(seed, level, names), done[0].schema), f"mix-level{level}")
+        schema = todo.withColumn("open", F.lit(False)).schema
+        rounded = work.staged(todo.groupBy("s", "b").applyInPandas(_rounder(seed, level, names), schema), f"mix-level{level}")
         if blocks == 1:
-            done.append(rounded)
+            done.append(rounded.drop("h", "b"))
             break
-        done.append(rounded.where(~F.col("__open")))
-        todo = rounded.where("__open").drop("__open").withColumn("__b", F.floor(F.col("__b") / FAN).cast("int"))
+        done.append(rounded.where(~F.col("open")).drop("h", "b"))
+        todo = rounded.where("open").drop("open").withColumn("b", F.floor(F.col("b") / FAN).cast("int"))
         blocks, level = -(-blocks // FAN), level + 1
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    part = F.col("__p") if residual == "partial" else F.round("__p")
-    return out.select(
-        F.col("__id").alias("doc_id"),
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__whole") + F.when(F.col("__open"), F.round("__p")).otherwise(F.col("__p"))).cast("int").alias("copies"),
-        F.round((F.col("__whole") + F.when(F.col("__open"), part).otherwise(F.col("__p"))) * F.col("__size")).cast("long").alias("taken"),
-    )
+    return out
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, residual: str = "partial") -> DataFrame:
+    """How often each document is taken: doc_id, size, source_size, target, copies, taken.
+
+    Sources, ordered by code point with null last, get ``weights`` in turn and share
+    the words of all documents.  A document of a source with target ``t`` and size
+    ``S`` is wanted ``t / S`` times: the whole part for certain, the rest by pivotal
+    rounding in a tree: leaves of about 1,024 documents, whose residuals meet in
+    nodes of 64 children up to one residual for each source.  ``residual`` says what
+    that last document gives: ``partial`` takes the matching part of its words, so
+    that a source meets its target to within a word; ``nearest`` rounds to whole copies.
+
+    Empty and null texts have size 0 and are taken 0 words.  A null doc_id is a value
+    like any other.  Rows of one source with one doc_id and text are alike: they are
+    rounded against each other first, in any number, and only their last fraction enters
+    the tree, so that they do not crowd a leaf.  No rows give no rows; other columns
+    are ignored; texts may have any length.  The same input gives the same result
+    however it is partitioned.  The table of sources, one row for each, is the only
+    thing that comes to the driver, and is broadcast up to 100,000 of them; a hot source
+    is many leaves.
+    """
+    with Work(docs.sparkSession, "mix-plan") as work:
+        plan = _plan(docs, work, weights, cap, seed)
+        # many alike rows are dealt out before they are listed
+        many = plan.where("m > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / LEAF))))
+        many = many.repartition("k", "none", "th", "s", "chunk").withColumn("i", F.explode(F.sequence(F.col("chunk") * LEAF, F.least(F.col("m"), (F.col("chunk") + 1) * LEAF) - 1)))
+        rows = plan.where("m = 1").withColumn("i", F.lit(0).cast("long")).unionByName(many.drop("chunk"))
+        last = F.col("i") == F.col("certain")
+        share = F.when(F.col("i") < F.col("certain"), 1.0).when(last, F.col("p")).otherwise(0.0)
+        part = share if residual == "partial" else F.round(share)
+        out = rows.select(
+            F.when(~F.col("none"), F.col("k")).alias("doc_id"),
+            "size",
+            "source_size",
+            "target",
+            (F.col("whole") + F.round(share)).cast("int").alias("copies"),
+            F.round((F.col("whole") + F.when(F.col("open") & last, part).otherwise(share)) * F.col("size")).cast("long").alias("taken"),
+        )
+        return staged(out, "mix")
+
+
+def mix(docs: DataFrame, weights: Iterable[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
     """The mixed corpus itself: each document as many times as the plan takes it whole.
 
-    Rows that share doc_id and size are alike to the plan, which gives them their
-    copies in any order.  All columns of ``docs`` stay, in their order.
+    Of rows alike in source, doc_id and text, which may differ in other columns, any
+    may be the ones taken once more.  Nulls, empty texts (which are taken 0 times or
+    whole times, having no words), ties and empty tables are as in :func:`plan_mix`.
+    All columns of ``docs`` stay, in their order, whatever their names.
     """
-    from pyspark.sql import Window
-
-    plan = plan_mix(docs, residual="nearest", **options)
-    key = ["__k", "__none", "__n"]
-    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__none"), word_count().alias("__n"), F.xxhash64("text", "source").alias("__o"))
-    left = left.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("__o")))
-    copies = plan.where("copies > 0").groupBy(F.coalesce("doc_id", F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__none"), F.col("size").alias("__n")).agg(F.collect_list("copies").alias("__c"))
-    joined = left.join(copies.hint("merge"), key).where(F.col("__r") <= F.size("__c"))
-    times = F.element_at(F.array_sort("__c"), F.size("__c") - F.col("__r") + 1)
-    return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    source = [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("nowhere")]
+    keys = ["k", "none", "th", "source", "nowhere"]
+    with Work(docs.sparkSession, "mix-plan") as work:
+        plan = _plan(docs, work, weights, cap, seed)
+        plan = plan.withColumn("extra", F.col("certain") + F.round("p").cast("long"))
+        plan = plan.select("k", "none", "th", *source, "whole", "m", "extra").where("whole > 0 OR extra > 0")
+        plan = staged(plan, "mix-plan")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(), *source)
+    some = (F.col("extra") > 0) & (F.col("extra") < F.col("m"))
+    rows = packed.join(plan.where(~some).hint("merge"), keys).select("row", (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).alias("times"))
+    if plan.where(some).limit(1).count():
+        # alike rows are numbered in two steps: within a written part, after those of the parts before
+        held = staged(packed.join(plan.where(some).hint("merge"), keys).withColumn("at", F.monotonically_increasing_id()), "mix-alike")
+        held = held.withColumn("part", F.shiftright("at", 33))
+        number = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("at"))
+        counts = held.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = held.withColumn("number", number).join(counts.withColumn("before", before).drop("n").hint("merge"), [*keys, "part"])
+        rows = rows.unionByName(held.select("row", (F.col("whole") + F.when(F.col("number") + F.col("before") <= F.col("extra"), 1).otherwise(0)).alias("times")))
+    return rows.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
