@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
+
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, table
+from .common import runs, staged, table, tidy
 
 #: Words of a window, words of a block of the shift table, bytes of benchmark text in one search machine.
-WIDTH, BLOCK, SHARD_BYTES = 10, 2, 32 << 20
+WIDTH, BLOCK, SHARD_BYTES = 10, 2, 2 << 20
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
@@ -26,19 +29,35 @@ class Machine:
     ``shift`` says for a block of words how far the window may move without missing a
     pattern; a block that no pattern has allows the longest move.  Where the shift is
     nought, the block is some pattern's suffix: its bucket has the patterns to compare.
+    A pattern is a place in an item's words (``texts``), not a copy of them; equal
+    patterns are one, with all their items.
     """
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
-        self.length = len(next(iter(patterns)))
-        self.block = min(BLOCK, self.length)
-        self.far = self.length - self.block + 1
+    def __init__(self, length: int, texts: list[list[bytes]], names: list[str | None]):
+        self.length, self.texts, self.names = length, texts, names
+        self.block = min(BLOCK, length)
+        self.far = length - self.block + 1
         self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, list[tuple[list[bytes], list[str]]]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, self.length + 1):
-                key = b" ".join(pattern[end - self.block : end])
-                self.shift[key] = min(self.shift.get(key, self.far), self.length - end)
-            self.bucket.setdefault(key, []).append((list(pattern), items))
+        self.bucket: dict[bytes, int | list[int]] = {}
+        self.item, self.start = array("i"), array("i")
+        self.owners: dict[int, list[int]] = {}  # of patterns that several items have
+        known: dict[bytes, int] = {}
+        for k, words in enumerate(texts):
+            keys = [b" ".join(words[i : i + self.block]) for i in range(len(words) - self.block + 1)]
+            for i in range(len(words) - length + 1):
+                digest = xxhash.xxh3_128_digest(b" ".join(words[i : i + length]))
+                n = known.setdefault(digest, len(self.item))
+                if n < len(self.item):
+                    self.owners.setdefault(n, [self.item[n]]).append(k)
+                    continue
+                self.item.append(k)
+                self.start.append(i)
+                for j in range(self.far):
+                    key, step = keys[i + j], self.far - 1 - j
+                    if step < self.shift.get(key, self.far):
+                        self.shift[key] = step
+                there = self.bucket.get(key)
+                self.bucket[key] = n if there is None else [*there, n] if isinstance(there, list) else [there, n]
 
     def search(self, words: list[bytes]):
         """(start, items) of every occurrence, starts ascending."""
@@ -50,24 +69,24 @@ class Machine:
             if step:
                 at += step
                 continue
-            start = at - length
-            for pattern, items in self.bucket[key]:
-                if words[start:at] == pattern:
-                    yield start, items
+            start, found = at - length, self.bucket[key]
+            for k in found if isinstance(found, list) else (found,):
+                item, i = self.item[k], self.start[k]
+                if words[start:at] == self.texts[item][i : i + length]:
+                    yield start, [self.names[o] for o in self.owners.get(k, (item,)) if self.names[o] is not None]
             at += 1
 
 
 def machines(items: list[tuple[str | None, str | None]], width: int = WIDTH) -> list[Machine]:
     """A machine for each length among the items' windows."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    by_length: dict[int, tuple[list, list]] = {}
+    same: dict[bytes, bytes] = {}  # one object for each word
     for item, text in items:
-        words = words_of(text)
-        length = min(width, len(words))
-        for i in range(len(words) - length + 1 if length else 0):
-            owners = by_length.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set())
-            if item is not None:
-                owners.add(item)
-    return [Machine({p: sorted(o) for p, o in patterns.items()}) for _, patterns in sorted(by_length.items())]
+        if words := [same.setdefault(w, w) for w in words_of(text)]:
+            texts, names = by_length.setdefault(min(width, len(words)), ([], []))
+            texts.append(words)
+            names.append(item)
+    return [Machine(length, *group) for length, group in sorted(by_length.items())]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -108,6 +127,7 @@ def _item_shards(benchmark: DataFrame) -> list:
 
 
 def _scan(docs: DataFrame, shard) -> DataFrame:
+    @tidy
     def scan(batches):
         search = machines(shard.value)
         for batch in batches:
@@ -133,27 +153,32 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts have no words.  Items without words match nothing; null item
     ids mark words but are not listed; equal item ids count once.  Null doc_ids and
-    repeated rows pass through.  No documents give no rows.
+    repeated rows pass through.  Texts may have any length.  No documents give no rows.
 
-    The benchmark is broadcast in shards of at most 32 MB of text.  With more than one
-    shard, all documents are searched for each in turn and their spans are united.
+    The benchmark is broadcast in shards of at most 2 MB of text, which bounds what a
+    worker holds.  With more than one shard, all documents are searched for each in
+    turn, and the spans of equal rows, which are alike, are united once.
     """
     shards = _item_shards(benchmark)
-    found = _scan(docs, shards[0])
     if len(shards) == 1:
-        return found.drop("row")
-    for shard in shards[1:]:
-        found = found.unionByName(_scan(docs, shard))
+        return _scan(docs, shards[0]).drop("row")
+    key, found = ["doc_id", "row", "n_words"], None
+    for shard in shards:
+        one = _scan(docs, shard).groupBy(*key).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        found = one if found is None else found.unionByName(one)
 
+    @tidy
     def unite(batches):
         for batch in batches:
             spans = [[{"a": a, "b": b} for a, b in merge_spans([(s["a"], s["b"]) for s in row])] for row in batch.column("spans").to_pylist()]
             yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.array(spans, _SPANS))
 
-    grouped = found.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / len(shards)).cast("int").alias("same"))
-    flat = grouped.select("doc_id", "n_words", "spans", "items", "same")
-    united = flat.mapInArrow(unite, flat.schema)
-    return united.withColumn("again", F.explode(F.sequence(F.lit(1), "same"))).drop("same", "again")
+    grouped = found.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    united = grouped.mapInArrow(unite, grouped.schema)
+    united = united.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "row", "n_words", "spans", "items")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "row")
+    return rows.join(united.hint("merge"), ["k", "none", "row"]).select("doc_id", "n_words", "spans", "items")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -170,16 +195,28 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    shards = _item_shards(benchmark)
+    """The documents in which no benchmark window occurs, with all their columns.
 
-    def keep(batches):
-        own = [machines(s.value) for s in shards]
-        for batch in batches:
-            clean = [not any(next(m.search(w), None) for search in own for m in search) for w in (words_of(t.as_py()) for t in batch.column("text"))]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    Null and empty texts have no words and stay; repeated rows are judged alike; no
+    documents give no rows, and with no items all stay.  Whole texts are searched.
+    Other columns may have any names.  Shards of a large benchmark take their turn, so
+    that a worker holds one at a time; what is left is written in between.
+    """
+
+    def without(shard):
+        @tidy
+        def keep(batches):
+            search = machines(shard.value)
+            for batch in batches:
+                clean = [not any(next(m.search(w), None) for m in search) for w in (words_of(t.as_py()) for t in batch.column("text"))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return keep
 
-    return docs.mapInArrow(keep, docs.schema)
+    first, *others = _item_shards(benchmark)
+    for shard in others:
+        docs = staged(docs.mapInArrow(without(shard), docs.schema), "decontaminated")
+    return docs.mapInArrow(without(first), docs.schema)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
