@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
-#: Entries of the broadcast tier (at most), of each task's report, and of a worker's cache.
-FREQUENT, REPORT, CACHE = 65_536, 8_192, 400_000
+#: Entries of the broadcast tier (at most), of each task's report, and of a worker's cache; characters of a unit beyond which it is in none of them.
+FREQUENT, REPORT, CACHE, LONG = 65_536, 8_192, 400_000, 64
 _SPACED = re.compile(r" +[^ ]*")
 
 
@@ -51,7 +51,7 @@ class PieceLengths(dict):
             n = 1
         else:
             n = len(self.model.encode(unit, num_threads=1)) - (unit[0] == "\n")
-        if len(unit) <= 64:
+        if len(unit) <= LONG:
             self[unit] = n
         return n
 
@@ -69,9 +69,11 @@ def frequent_units(docs: DataFrame, limit: int = FREQUENT) -> list[str]:
 
     Each task keeps a lossy count (it drops the rare half when its table is full)
     and reports its largest entries; only those reports are added up.  Which units
-    are chosen affects speed alone, never a count of tokens.
+    are chosen affects speed alone, never a count of tokens.  Long units are left out,
+    so that the reports and the broadcast are bounded in bytes as well.
     """
 
+    @tidy
     def summarise(batches):
         seen: Counter = Counter()
         for batch in batches:
@@ -79,7 +81,7 @@ def frequent_units(docs: DataFrame, limit: int = FREQUENT) -> list[str]:
             for a in range(0, len(column), 256):
                 for text in column.slice(a, 256).to_pylist():
                     if text:
-                        seen.update(pre_tokens(text))
+                        seen.update([u for u in pre_tokens(text) if len(u) <= LONG])
                 if len(seen) > CACHE:
                     seen = Counter(dict(seen.most_common(CACHE // 4)))
         top = seen.most_common(REPORT)
@@ -103,6 +105,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, frequent:
     own = PieceLengths(model_file)
     tier = spark.sparkContext.broadcast(("\0".join(u for u in units if "\0" not in u), bytes(min(255, own[u]) for u in units if "\0" not in u)))
 
+    @tidy
     def count(batches):
         names, lengths = tier.value
         known = {u: n for u, n in zip(names.split("\0"), lengths) if n < 255} if lengths else {}
