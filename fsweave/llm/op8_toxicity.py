@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_share, staged, table
+from .common import hashed_share, staged, table, tidy
 
 #: Bounds of the fit: labelled documents read for it (about), and words of the model.
 FIT_DOCS, WORDS = 20_000, 50_000
@@ -27,28 +27,30 @@ def is_held_out(doc_id="doc_id"):
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring subsequences (start, stop, score), in one pass.
+    """All maximal scoring subsequences (start, stop, score), in one pass of linear time.
 
     Candidates are kept with the cumulative score before and after them.  A new one
-    joins the nearest earlier candidate that starts lower, if that ends lower too.
+    joins the nearest earlier candidate that starts lower, if that ends lower too.  Each
+    candidate knows the nearest earlier one that starts lower than itself, so the search
+    passes over what lies between: that starts no lower.
     """
-    found: list[tuple[int, int, float, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        start, left = i, before
+        start, left, j = i, before, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
-                found.append((start, i + 1, left, total))
+                found.append((start, i + 1, left, total, j))
                 break
-            start, left = found[j][0], found[j][2]
+            start, _, left, _, before_it = found[j]
             del found[j:]
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = before_it
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 class ToxicModel:
@@ -187,11 +189,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) ->
 
     Null and empty texts have no evidence and get the lowest score.  Without labels of
     both kinds nothing can be learned: every score is the share of toxic labels (0 if
-    there are none).  Null ids are not held out; repeated rows are scored alike.
+    there are none).  Null ids are not held out; repeated rows are scored alike.  A text
+    may have any length.  No documents give no rows.
     The model's size is bounded by its parameters, so it is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
 
+    @tidy
     def run(batches):
         own = model.value
         for batch in batches:
@@ -215,9 +219,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not reject, with all their columns."""
+    """The documents that the model does not reject, with all their columns.
+
+    Null and empty texts have no evidence and stay, as does everything where nothing
+    could be learned.  Repeated rows are judged alike.  Whole texts are scored, in time
+    linear in their length.  No documents give no rows; other columns may have any names.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
+    @tidy
     def keep(batches):
         own = model.value
         for batch in batches:
