@@ -7,16 +7,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_share, table
+from .common import hashed_share, table, tidy
 
 #: Bounds of the fit: documents read for it (about), known words, longest character n-gram.
 FIT_DOCS, WORDS, LONGEST = 20_000, 100_000, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case.  Numbers that are no digits (fractions, Roman ones) are no letters, but may stand in a word."""
+    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def is_held_out(doc_id="doc_id"):
     """crc32 of the doc_id as text, mod 4, is 2; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -74,31 +79,33 @@ class LanguageModel:
 
 
 class Scorer(dict):
-    """word -> row of a growing matrix of scores, bounded."""
+    """word -> row of a growing matrix of scores, bounded; long words are not remembered."""
 
-    LIMIT = 300_000
+    LIMIT, LONG = 300_000, 64
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model = model
-        self.matrix = np.zeros((1024, len(model.langs)), np.float32)
+        self.matrix, self.n = np.zeros((1024, len(model.langs)), np.float32), 0
 
     def __missing__(self, word: str) -> int:
-        k = len(self)
+        k, self.n = self.n, self.n + 1
         if k == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
         self.matrix[k] = self.model.of_word(word)
-        self[word] = k
+        if len(word) <= self.LONG:
+            self[word] = k
         return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.langs:
             return "und", 0.0
-        if len(self) > self.LIMIT:
-            self.clear()
         total = np.zeros(len(self.model.langs))
         for a in range(0, len(words), 100_000):
+            if self.n > self.LIMIT:
+                self.clear()
+                self.n = 0
             rows = list(map(self.__getitem__, words[a : a + 100_000]))
             total += self.matrix[rows].sum(0, dtype=np.float64)
         e = np.exp(total - total.max())
@@ -109,7 +116,8 @@ def fit(docs: DataFrame, bound: int = FIT_DOCS, words: int = WORDS) -> LanguageM
     """Count words of about ``bound`` learnable documents, chosen by hash of the id.
 
     Learnable rows have text and a language and are not held out.  Tasks count what
-    they read before anything moves; the model keeps the ``words`` most frequent.
+    they read before anything moves.  Of ``words`` words each language has an equal share,
+    its most frequent ones, so that a rare language is not crowded out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~is_held_out())
     share = hashed_share(rows.count(), bound)
@@ -119,12 +127,14 @@ def fit(docs: DataFrame, bound: int = FIT_DOCS, words: int = WORDS) -> LanguageM
         seen: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.setdefault(lang, Counter()).update(_WORD.findall(text.as_py().lower()))
+                seen.setdefault(lang, Counter()).update(words_of(text.as_py()))
         for lang, c in seen.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
     summed = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = summed.orderBy(F.desc("n"), "lang", "word").limit(words).collect()
+    langs = sample.select("lang").distinct().count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = summed.withColumn("rank", rank).where(F.col("rank") <= max(1, words // max(1, langs))).collect()
     return LanguageModel([(r["lang"], r["word"], r["n"]) for r in top])
 
 
@@ -133,11 +143,12 @@ def identify(docs: DataFrame, bound: int = FIT_DOCS) -> DataFrame:
 
     ``und`` with score 0 where the text is null, empty or has no letter, or where
     nothing could be learned (no labelled rows).  Equal scores go to the language
-    that sorts first.  Null doc_ids are not held out; repeated rows and other
+    that sorts first.  Texts may have any length.  Null doc_ids are not held out; repeated rows and other
     columns do no harm.  The model is bounded by its parameters, so it is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, bound))
 
+    @tidy
     def predict(batches):
         scorer = Scorer(model.value)
         for batch in batches:
