@@ -3,10 +3,12 @@
 import base64
 import gzip  # noqa: F401
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from fsweave.llm import op1_warc as warc
@@ -34,10 +36,15 @@ def test_exact_dedup(spark, docs, none):
     for text, rows in groups.items():
         keep = min(rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))[0]
         want += [(i, keep, len(rows), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i, _ in rows]
+    for batches in (1, 2, 3):
+        index = exact.DigestIndex(spark, scratch(spark, "index"), 4)
+        assert table(exact.deduplicate_all(docs, index, batches)) == sorted(want, key=str)
+        assert index.frame().where("first").count() == len(groups)
+        index.drop()
     index = exact.DigestIndex(spark, scratch(spark, "index"), 4)
     assert table(exact.deduplicate(docs, index)) == sorted(want, key=str)
     again = exact.deduplicate(docs, exact.DigestIndex(spark, index.path, 4)).collect()  # everything is known by now
-    assert not any(r.kept for r in again) and index.frame().count() == len(groups)
+    assert not any(r.kept for r in again) and index.frame().where("first").count() == index.known().count() == len(groups)
     fresh = make_docs(spark, [(900, "quite new", None, None), (901, "alone here", None, None)])
     assert [(r.doc_id, r.kept) for r in sorted(exact.deduplicate(fresh, index).collect())] == [(900, True), (901, False)]
     assert exact.deduplicate(none, index).count() == 0
@@ -76,7 +83,7 @@ def test_substring_dedup(spark, docs, batches):
 def test_substring_index_grows_and_compacts(spark, none):
     rows = [r for r in messy(5) if r[0] is not None]
     random.Random(1).shuffle(rows)  # later batches may have smaller ids
-    index = sub.FingerprintIndex(spark, scratch(spark, "prints"), 64)
+    index = sub.FingerprintIndex(spark, scratch(spark, "prints"), 64, fan=3)
     seen = []
     for k in range(0, len(rows), 30):
         part = rows[k : k + 30]
@@ -87,7 +94,10 @@ def test_substring_index_grows_and_compacts(spark, none):
         got = table(spark.read.parquet(path))
         repeated = {i for i in ids if sum(r[0] == i for r in seen) > 1}
         assert [g for g in got if g[0] not in repeated] == [w for w in want if w[0] not in repeated]
-    assert len(index.runs()) == -(-len(rows) // 30)
+    n, levels = -(-len(rows) // 30), []
+    while n:
+        levels, n = [n % 3, *levels], n // 3
+    assert n == 0 and [len(index.runs(k)) for k in range(len(levels))] == levels[::-1]  # three runs of a level make one of the next
     before = index.read().agg({"n": "sum"}).first()[0]
     index.compact()
     assert len(index.runs()) == 1 and sub.FingerprintIndex(spark, index.path, 64).runs() == index.runs() and index.read().agg({"n": "sum"}).first()[0] <= before
@@ -99,7 +109,7 @@ def test_substring_index_grows_and_compacts(spark, none):
 def test_colliding_keys_are_told_apart():
     import numpy as np
 
-    h, c, d = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint16), np.array([7, 3, 4, 8], np.int64)
+    h, c, d = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint32), np.array([7, 3, 4, 8], np.int64)
     p = sub.Prints(h, c, d).distinct()
     assert sorted(zip(p.h.tolist(), p.c.tolist(), p.d.tolist())) == [(5, 1, 4), (5, 2, 3), (9, 1, 8)]
 
@@ -150,6 +160,13 @@ def test_jaccard_components(spark, docs, none, k, num, den):
     assert kept.columns == docs.columns and kept.count() == groups
 
 
+def test_keep_one_with_clashing_names_and_repeats(spark, docs):
+    names = ("row", "k", "none", "th", "one", "choose", "rows", "rid", "__k", "__th", "__one")
+    clashing = docs.selectExpr("*", *(f"doc_id AS `{c}`" for c in {*names} - {*docs.columns}))
+    kept = near.keep_one(clashing.unionByName(clashing), 3, 9, 10)
+    assert kept.columns == clashing.columns and kept.where("text RLIKE '[^ ]'").count() == near.keep_one(docs, 3, 9, 10).where("text RLIKE '[^ ]'").count()
+
+
 def test_jaccard_chains_and_groups(spark, none):
     """A chain whose ends are unlike, and a group of several hundred copies that differ in one word each."""
     base = [f"w{i}" for i in range(60)]
@@ -168,6 +185,72 @@ def test_water_filling():
     assert mixing.water_fill([0, 5], [1, 1], 5, 3) == [0, 5] and mixing.water_fill([], [], 0, 3) == []
 
 
+def plain_mix(rows, weights=(1, 2, 3), cap=3.0, seed=7):
+    """The same tree in one process: rows of (source, k, none, th, size, h), alike rows repeated."""
+    units = Counter(rows)
+    names = sorted({r[0] for r in rows}, key=lambda n: (n is None, (n or "").encode("utf-32-be")))
+    sizes = [sum(r[4] * m for r, m in units.items() if r[0] == n) for n in names]
+    targets = mixing.water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(sizes), cap)
+    taken = Counter()
+    for s, name in enumerate(names):
+        mine = {r: m for r, m in units.items() if r[0] == name}
+        rate = min(cap, targets[s] / sizes[s]) if sizes[s] else 0.0
+        whole, leaves = math.floor(rate + mixing.EPS), max(1, -(-len(mine) // mixing.LEAF))
+        p, todo = {}, defaultdict(list)
+        for r, m in mine.items():
+            share = m * max(0.0, rate - whole)
+            certain = math.floor(share + mixing.EPS) if r[4] else 0
+            p[r] = max(0.0, share - certain) if r[4] else 0.0
+            taken[r] = (whole * m + certain) * r[4]
+            if p[r] > mixing.EPS:
+                todo[r[5] % leaves].append(r)
+        level, most = 0, -(-max([1, *(len([r for r in units if r[0] == n]) for n in names)]) // mixing.LEAF)
+        while True:
+            left = defaultdict(list)
+            for b, group in todo.items():
+                group.sort(key=lambda r: (r[5], r[1], r[2], r[3], r[4]))
+                ps = np.array([p[r] for r in group])
+                rest = mixing.pivot(ps, np.array([float(r[4]) for r in group]), np.random.default_rng([seed, level, s, b]))
+                p.update(zip(group, ps.tolist()))
+                if rest >= 0:
+                    left[b // mixing.FAN].append(group[rest])
+            if most == 1:
+                break
+            todo, level, most = left, level + 1, -(-most // mixing.FAN)
+        for r in mine:
+            taken[r] += p[r] * r[4]
+    out = Counter()
+    for r, words in taken.items():
+        out[r[0]] += words
+    return taken, out
+
+
+def test_mixing_equals_the_tree_in_one_process(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "LEAF", 8)
+    monkeypatch.setattr(mixing, "FAN", 2)
+    same = make_docs(spark, [(77, "one and the same row", "en", "s1")] * 50 + [(None, f"row {k} without an id", "en", "s1") for k in range(20)])
+    docs = docs.unionByName(same.select(*docs.columns) if set(docs.columns) <= set(same.columns) else same, allowMissingColumns=True)
+    keyed = docs.select("source", *mixing._keys(), mixing.word_count().alias("size"))
+    keyed = keyed.select("source", "k", "none", "th", "size", F.xxhash64(F.lit(7), "k", "none", "th", "size").alias("h"))
+    taken, _ = plain_mix([tuple(r) for r in keyed.collect()])
+    got = Counter()
+    for r in mixing.plan_mix(docs).collect():
+        got[r.doc_id, r.size, r.source_size] += r.taken
+    want = Counter()
+    total = defaultdict(int)
+    for r in keyed.collect():
+        total[r.source] += r.size
+    for (source, k, none, _, size, _), words in taken.items():
+        want[None if none else k, size, total[source]] += words
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
+    clashing = docs.selectExpr("*", *(f"doc_id AS `{c}`" for c in {"row", "k", "none", "th", "nowhere", "whole", "m", "extra", "times", "part", "at", "number", "before", "__n", "__k", "__c"} - {*docs.columns}))
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == clashing.columns and mixed.count() == mixing.plan_mix(docs, residual="nearest").agg({"copies": "sum"}).first()[0]
+    assert mixing.mix(clashing.limit(0)).count() == 0
+
+
 def test_mixing(spark, docs, none, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 8)
     monkeypatch.setattr(mixing, "FAN", 2)
