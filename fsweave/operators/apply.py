@@ -270,6 +270,40 @@ def accepts_column(m: Machine, column: Column) -> Column | None:
     return None if text is None else column.rlike(text.replace("$", r"\z") if text.endswith("$") else text)
 
 
+def flag_members(df: DataFrame, m: Machine, column: str, to: str) -> DataFrame:
+    """``df`` with whether ``m`` takes ``column``: by pattern, or by a broadcast automaton if that is too large.
+
+    A null is no member.
+    """
+    test = accepts_column(m, F.col(column))
+    if test is not None:
+        return df.withColumn(to, F.coalesce(test, F.lit(False)))
+    shared = df.sparkSession.sparkContext.broadcast(determinize(m).renumber())
+
+    def run(batches):
+        d = shared.value
+        (start,) = d.starts
+        moves: dict = defaultdict(dict)
+        for i, a, _, j in d.arcs:
+            moves[i][a] = j
+
+        def member(x) -> bool:
+            q = start
+            for a in x:
+                q = moves[q].get(a)
+                if q is None:
+                    return False
+            return q in d.finals
+
+        for batch in batches:
+            xs = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            yield batch.append_column(to, pa.array([x is not None and member(x) for x in xs], pa.bool_()))
+
+    from pyspark.sql.types import BooleanType, StructType
+
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add(to, BooleanType()))
+
+
 def precover_column(m: Machine, target: str, column: Column) -> Column | None:
     """``f(column) starts with target`` as a test of the column itself.
 

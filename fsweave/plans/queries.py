@@ -5,14 +5,14 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fsweave.functions import logmath, rewrite
 from fsweave.operators import algebra, fixpoint, ngram, scoring
-from fsweave.operators.apply import accepts_column, aggregate_column, apply, apply_all, filter_by_output, relation_rows, totalized
+from fsweave.operators.apply import aggregate_column, apply, apply_all, filter_by_output, flag_members, relation_rows, totalized
 from fsweave.plans.machine import EPS, Machine
-from fsweave.plans.precover import Decomposition, hub_vocabulary, regions, universal_states
+from fsweave.plans.precover import Decomposition, regions, universal_states
 from fsweave.sources import catalog, corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,7 +122,7 @@ def _containing(text: str, alphabet: str) -> Machine:
 @query(f"WITH {_LOWER} SELECT x, n FROM l WHERE contains(x, 'th') AND NOT contains(x, 'he')")
 def q11_domain_filter(spark, sf_dir):
     m = algebra.difference(_containing("th", string.ascii_lowercase), _containing("he", string.ascii_lowercase))
-    return lower_words(spark, sf_dir).where(accepts_column(algebra.minimize(m), F.col("x")))
+    return flag_members(lower_words(spark, sf_dir), algebra.minimize(m), "x", "member").where("member").drop("member")
 
 
 @query(f"WITH {_WORDS} SELECT word, CASE WHEN regexp_full_match(word, '[a-z]*') THEN replace(word, 'bad', 'ungood') ELSE 'FAIL' END AS y FROM w")
@@ -534,17 +534,22 @@ def q44_induced_model(spark, sf_dir):
     return spark.createDataFrame(rows, "target string, sym string, logp double").where("sym <> 'b'")
 
 
-@query(
-    f"""WITH {_LOWER}, y AS (SELECT x, sum(n) AS n FROM l GROUP BY 1) SELECT 'w' || CAST(length(x) AS VARCHAR) AS key, CAST(sum(length(x)) AS BIGINT) AS n FROM y GROUP BY 1"""
-)
+_SPOKEN = "s AS (SELECT conv_id, string_agg(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '' ORDER BY turn, text) AS t FROM conversations GROUP BY 1)"
+
+
+@query(f"WITH {_SPOKEN} SELECT CAST(conv_id AS VARCHAR) AS key, CAST(length(t) AS BIGINT) AS n, md5(upper(t)) AS written FROM s WHERE length(t) > 0")
 def q45_follow_symbols(spark, sf_dir):
-    """Symbols of all words of a length, one after another, through a machine in one keyed pass."""
+    """The letters of each conversation, one after another, through a machine in one keyed pass; what it wrote is compared by digest."""
     from fsweave.streaming.incremental import follow_batch
 
-    rows = lower_words(spark, sf_dir).select(F.concat(F.lit("w"), F.length("x").cast("string")).alias("key"), "x")
-    at = rows.select("key", "x", F.posexplode(F.split("x", "")).alias("k", "symbol"))
-    seq = F.xxhash64("x", "k")
-    return follow_batch(at.select("key", seq.alias("seq"), "symbol"), catalog.letters((c, c.upper()) for c in string.ascii_lowercase)).select("key", "n")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("key"), "turn", "text")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("turn", "text"))
+    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
+    rows = turns.select("key", rank.alias("at"), letters.alias("x")).where("x <> ''")
+    symbols = rows.select("key", "at", F.posexplode(F.split("x", "")).alias("k", "symbol"))
+    seq = F.col("at").cast("long") * (1 << 32) + F.col("k")
+    done = follow_batch(symbols.select("key", seq.alias("seq"), "symbol"), catalog.letters((c, c.upper()) for c in string.ascii_lowercase))
+    return done.select("key", "n", F.md5(F.col("written").cast("binary")).alias("written"))
 
 
 @query(f"WITH {_WORDS} SELECT word, word AS y FROM w WHERE regexp_full_match(word, '[a-z]*') UNION ALL SELECT word, upper(word) FROM w WHERE regexp_full_match(word, '[a-z]*')")
@@ -571,7 +576,3 @@ def q49_role_sequences(spark, sf_dir):
     m = Machine.acceptor([(i, c, c) for c in "usat" for i in ("", *"usat") if i != c], [""], ["", *"usat"])
     return rows.groupBy("conv_id").agg(text.alias("x")).select("conv_id", aggregate_column(m, F.col("x")).isNotNull().alias("alternates"))
 
-
-def hub_rows(m: Machine, hub) -> list[tuple]:
-    """A hub's vocabulary as rows (symbol, output, target)."""
-    return [(str(a), "".join(map(str, y)), str(j)) for a, (y, j) in (hub_vocabulary(m, hub) or {}).items()]

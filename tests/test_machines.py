@@ -244,3 +244,49 @@ def test_late_endings_disprove_functionality(length):
     x, y, z = A.functional_witness(m)
     assert len(x) == len(y) == len(z) == length + 1 and {y[0], z[0]} == {"x", "y"}
     assert not A.is_functional(m) and len(list(A.transduce(m, x))) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(transducers, st.lists(st.integers(0, 5), max_size=4))
+def test_longer_targets_equal_new_ones(f, picks):
+    """A chain of extensions, and all next symbols, against decompositions from scratch."""
+    if not f.writes:
+        return
+    d, letters = Decomposition(f), sorted(f.writes, key=repr)
+    for k in picks:
+        d = d >> letters[k % len(letters)]
+        fresh = Decomposition(f, d.target)
+        assert d.strings(4) == fresh.strings(4) and len(d.q_stops) == len(fresh.q_stops) and d.size == fresh.size
+        for y, child in d.next().items():
+            assert child.strings(3) == Decomposition(f, (*d.target, y)).strings(3)
+
+
+def test_longer_targets_reuse_moves():
+    m = catalog.newspeak()
+    d = Decomposition(m)
+    for k, y in enumerate("ungoodungoodungood"):
+        d = d >> y
+        if k > 3:
+            assert d.made <= 8 and d.reused > k
+    first, *others = (d >> y for y in "aeiu")
+    assert all(o.made <= first.made for o in others) and others[-1].reused > 0
+
+
+def test_lazy_automata():
+    """Combinators against the machines they describe."""
+    from fsweave.plans.lazy import Lazy
+
+    m = Machine.acceptor([(0, "a", 0), (0, "b", 0), (0, "a", 1), (1, EPS, 2), (2, "b", 3), (3, EPS, 0)], [0], [3])
+    lazy, asked = Lazy.of(m), []
+    counted = Lazy(lazy.starts, lambda q: asked.append(q) or lazy.arcs(q), lazy.final).cached()
+    forms = [lazy, counted, lazy.without_eps(), lazy.determinized(), lazy.determinized().renumbered(), counted.without_eps().determinized().renumbered().cached()]
+    for x in itertools.chain.from_iterable(itertools.product("ab", repeat=n) for n in range(7)):
+        assert {g.accepts(x) for g in forms} == {A.accepts(m, x)}
+    assert len(asked) == len(set(asked))
+    assert all(A.equal(g.materialized(), m) for g in forms)
+    assert lazy.started_at(2).accepts("b") and not lazy.started_at(2).accepts("a")
+    assert forms[4].starts == frozenset([0]) and forms[4].materialized().states <= frozenset(range(8))
+    with pytest.raises(RuntimeError):
+        Lazy([0], lambda q: [("a", q + 1)], lambda q: False).materialized(50)
+    full = Lazy.of(A.universal("ab"))
+    assert all(full.universal_from(q, "ab") for q in full.starts) and not lazy.universal_from(0, "ab") and not any(full.universal_from(q, "abc") for q in full.starts)
