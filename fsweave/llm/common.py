@@ -168,14 +168,17 @@ def open_folder(folder: str):
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
-def publish(fs, folder: str, name: str, data: bytes) -> str:
-    """Write under a passing name, then rename: an attempt that dies leaves no half file."""
+def publish(fs, folder: str, name: str, end: str, data: bytes) -> str:
+    """Write a file under a name of its own and return that.
+
+    A name is never used twice, so attempts of one task do not meet.  What a dead or
+    second attempt leaves behind is in no list of files, and readers go by the list.
+    """
     fs.create_dir(folder, recursive=True)
-    passing = f"{folder}/_{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(passing) as f:
+    name = f"{name}-{uuid.uuid4().hex}{end}"
+    with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
         f.write(data)
-    fs.move(passing, f"{folder}/{name}")
-    return f"{folder}/{name}"
+    return name
 
 
 _PACK = zstandard.ZstdCompressor(level=1)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_folder, publish, scratch, staged, table
+from .common import open_folder, publish, scratch, staged, table, tidy
 
 #: Bytes after which a writer begins another file, up to which Spark hands a file to its reader, and up to which an unpacked gzip member stays in memory.
 ROLL, INLINE, SPOOL = 32 << 20, 64 << 20, 64 << 20
@@ -273,14 +273,15 @@ def write_warc(pages: DataFrame, folder: str, smallest: int = 0, gzip: bool = Tr
     Null page_ids come after all others and have no id in their record.  Rows with the
     same id and payload tie, and all are responses.  An empty table gives no file.
 
-    Only digests are grouped; the join back splits a payload that many pages have.  Each
-    file is written under a passing name and renamed, so a lost task leaves none behind.
+    Only digests are grouped; the join back splits a payload that many pages have.  Names
+    are never used twice; files of lost attempts are not in the list.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
     first = staged(rows.where(F.col("size") >= smallest).groupBy("digest", "size").agg(F.min("page_id").alias("first_id")), "payloads")
     rows = rows.join(first.hint("merge"), ["digest", "size"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
+    @tidy
     def write(batches):
         from pyspark import TaskContext
 
@@ -288,7 +289,7 @@ def write_warc(pages: DataFrame, folder: str, smallest: int = 0, gzip: bool = Tr
         part, rolled, out, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            name = publish(fs, path, f"part-{part:06d}-{rolled:04d}.warc" + ".gz" * gzip, b"".join(out))
+            name = publish(fs, path, f"part-{part:06d}-{rolled:04d}", ".warc" + ".gz" * gzip, b"".join(out))
             return pa.RecordBatch.from_pydict({"file": pa.array([name]), "records": pa.array([len(out)], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for batch in batches:
@@ -351,21 +352,27 @@ def read_warc(spark: SparkSession, folder: str, written: dict[str, int] | None =
     chunks through their own file system.  A revisit's payload is empty; its digest and
     payload_bytes are those of the full payload.
 
-    With ``written``, the number of records of each file by its name, it is an error if
-    a file is missing or has more or fewer.
+    With ``written``, the number of records of each file by its name, only these files
+    are read, and it is an error if one is missing or has more or fewer.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(folder)
-    if written is not None and sorted(map(_name, files.inputFiles())) != sorted(written):
-        raise ValueError(f"{folder} has other files than were written")
+    if written is not None and (lost := written.keys() - {_name(f) for f in files.inputFiles()}):
+        raise ValueError(f"{folder} lacks files that were written: {sorted(lost)[:5]}")
 
+    @tidy
     def inline(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if written is not None and _name(path) not in written:  # of a lost attempt
+                    continue
                 yield from _rows(path, Source(content.as_buffer().to_pybytes()), written)
 
+    @tidy
     def streamed(batches):
         for batch in batches:
             for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if written is not None and _name(path) not in written:
+                    continue
                 fs, name = open_folder(path)
                 with fs.open_input_file(name) as f:
                     yield from _rows(path, Source(file=f, size=size), written)
@@ -382,7 +389,7 @@ def archive_pages(pages: DataFrame, smallest: int = 0, gzip: bool = True) -> Dat
     """
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
-    written = {_name(r.file): r.records for r in write_warc(pages, folder, smallest, gzip).collect()}  # a row for each 32 MB
+    written = {r.file: r.records for r in write_warc(pages, folder, smallest, gzip).collect()}  # a row for each 32 MB
     if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1) AS BIGINT)")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, open_folder, publish, runs, scratch, table, trim_memory
+from .common import kept, open_folder, publish, runs, scratch, table, tidy, trim_memory
 
 #: Ids in a block; a block fills whole 64-bit words for any width.
 BLOCK = 4096
@@ -246,7 +246,8 @@ def word_ids(file: str) -> WordIds:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1) -> DataFrame:
     """Encode every whole text, add ``end_id``, and write the ids in ascending doc_id order.
 
-    Returns one row for each file: shard (ascending as the ids go), n_docs, n_ids.
+    Returns one row for each file: its name, shard (ascending as the ids go), n_docs,
+    n_ids.  Files that are not among these come from lost attempts.
     Null texts count as empty, so such a document has its end id alone.  Null doc_ids
     come first; rows with equal ids are ordered by their texts' hashes.  No rows give
     no files.  Columns other than doc_id and text are ignored.  Texts move once, to be
@@ -265,8 +266,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
 
         def flush():
             starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-            publish(fs, path, f"shard-{part:06d}-{rolled:04d}.bits", shard_bytes((part, rolled), bits, ids, starts, np.concatenate(pieces)))
-            return pa.RecordBatch.from_pydict({"shard": pa.array([part << 20 | rolled], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
+            name = publish(fs, path, f"shard-{part:06d}-{rolled:04d}", ".bits", shard_bytes((part, rolled), bits, ids, starts, np.concatenate(pieces)))
+            return pa.RecordBatch.from_pydict({"file": pa.array([name]), "shard": pa.array([part << 20 | rolled], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
@@ -291,15 +292,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("__h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "__h").sortWithinPartitions("doc_id", "__h").select("doc_id", "text")
-    return ordered.mapInArrow(write, "shard long, n_docs long, n_ids long")
+    return ordered.mapInArrow(write, "file string, shard long, n_docs long, n_ids long")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of all files: shard, doc_id, local_start, n_tokens, ids_crc32."""
+    """The documents of all files: file, shard, doc_id, local_start, n_tokens, ids_crc32."""
 
+    @tidy
     def read(batches):
         for batch in batches:
-            for data in batch.column(0):
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = Shard(data.as_buffer().to_pybytes())
                 crc, lens = [], np.diff(shard.starts)
                 for a, b in runs(lens, 1 << 20):
@@ -308,6 +310,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     crc += [zlib.crc32(ids[int(shard.starts[k]) - lo : int(shard.starts[k + 1]) - lo].tobytes()) for k in range(a, b)]
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "file": pa.array([path.rpartition("/")[2]] * shard.n_docs),
                         "shard": pa.array([shard.number] * shard.n_docs, pa.int64()),
                         "doc_id": pa.array(shard.doc_ids, pa.int64()),
                         "local_start": pa.array(shard.starts[:-1], pa.int64()),
@@ -316,9 +319,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     }
                 )
 
-    schema = "shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+    schema = "file string, shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bits").load(folder)
-    return files.select("content").mapInArrow(read, schema)
+    return files.select("path", "content").mapInArrow(read, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFrame:
@@ -329,12 +332,12 @@ def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFra
     """
     spark = docs.sparkSession
     folder = scratch(spark, "token-files")
-    files = sorted((r["shard"], r["n_ids"]) for r in write_token_files(docs, folder, tokenizer_file, end_id).collect())
+    files = sorted((r["shard"], r["n_ids"], r["file"]) for r in write_token_files(docs, folder, tokenizer_file, end_id).collect())
     if not files:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = np.concatenate([[0], np.cumsum([n for _, n in files])])
-    offsets = spark.createDataFrame([(s, int(o)) for (s, _), o in zip(files, before)], "shard long, before long")
-    got = read_token_files(spark, folder).join(F.broadcast(offsets), "shard")
+    before = np.concatenate([[0], np.cumsum([n for _, n, _ in files])])
+    offsets = spark.createDataFrame([(f, int(o)) for (_, _, f), o in zip(files, before)], "file string, before long")
+    got = read_token_files(spark, folder).join(F.broadcast(offsets), "file")
     return got.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -22,6 +22,7 @@ def test_lost_records_are_an_error(spark, tmp_path):
     a, b, _ = records(3)
     (tmp_path / "a.warc").write_bytes(a + b)
     folder = f"file://{tmp_path}"
+    (tmp_path / "of-a-lost-attempt.warc").write_bytes(a)
     assert warc.read_warc(spark, folder, {"a.warc": 2}).count() == 2
     for wrong in ({"a.warc": 3}, {"a.warc": 2, "b.warc": 1}):
         with pytest.raises(Exception, match="written"):
