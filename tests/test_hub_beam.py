@@ -34,10 +34,8 @@ def test_a_hub_of_many_tokens_is_scored_whole():
         def logp(self, xs, a):
             return self.logp_next(xs).get(a, float("-inf"))
 
-    beam = scoring.HubBeam.__new__(scoring.HubBeam)  # the regions of so large a machine are not needed here
-    beam.m, beam.model, beam.k, beam.eos = m, One(), 50, One.eos
-    beam.hubs = {0: {"t%d" % k: (tuple(s), 0) for k, s in enumerate(spelled)}}
-    beam.tries = {0: scoring.TokenTrie({t: y for t, (y, _) in beam.hubs[0].items()})}
+    hubs = {0: {"t%d" % k: (tuple(s), 0) for k, s in enumerate(spelled)}}  # the regions of so large a machine are not needed here
+    beam = scoring.HubBeam(m, One(), hubs=hubs)
     state, done = beam.start(), ""
     for c in ("", *"abcd"):
         if c:
