@@ -196,13 +196,21 @@ def q19_eps_closure(spark, sf_dir):
     return fixpoint.eps_pairs(*part_machine(spark, sf_dir))
 
 
+_NEXT_SET = "(SELECT list(DISTINCT a.dst ORDER BY a.dst) FROM a WHERE list_contains(d.m, a.src) AND a.label = l.label)"
+
+
 @query(
-    """WITH RECURSIVE d AS (SELECT * FROM (VALUES ([0], 'a', [0, 1]), ([0], 'b', [0]), ([0, 1], 'a', [0, 1, 2]), ([0, 1], 'b', [0, 2]), ([0, 1, 2], 'a', [0, 1, 2]), ([0, 1, 2], 'b', [0, 2]), ([0, 2], 'a', [0, 1]), ([0, 2], 'b', [0])) t(m, label, nxt))
-SELECT array_to_string(m, ' ') AS members, label, array_to_string(nxt, ' ') AS next FROM d"""
+    f"""WITH RECURSIVE a AS (SELECT DISTINCT CAST(n_regionkey AS INT) AS src, CAST(length(n_name) % 3 AS VARCHAR) AS label, CAST(n_nationkey // 5 AS INT) AS dst FROM nation),
+l AS (SELECT DISTINCT label FROM a), d(m) AS (SELECT [0] UNION SELECT n FROM (SELECT {_NEXT_SET} AS n FROM d, l) WHERE n IS NOT NULL)
+SELECT array_to_string(m, ' ') AS members, label, array_to_string(n, ' ') AS next FROM (SELECT d.m, l.label, {_NEXT_SET} AS n FROM d, l) WHERE n IS NOT NULL"""
 )
 def q20_powerset_states(spark, sf_dir):
-    m = Machine.acceptor([(0, "a", 0), (0, "b", 0), (0, "a", 1), (1, "a", 2), (1, "b", 2)], [0], [2])
-    return fixpoint.subsets(*m.to_df(spark)).select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"), "label", F.array_join(F.col("next").cast("array<string>"), " ").alias("next"))
+    """The subset construction of an automaton over regions, with the nations as arcs."""
+    label = (F.length("n_name") % 3).cast("string")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    arcs = nation.select(F.col("n_regionkey").cast("int").alias("src"), label.alias("ilabel"), F.lit("").alias("olabel"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("dst")).distinct()
+    states = spark.range(5).select(F.col("id").cast("int").alias("state"), (F.col("id") == 0).alias("is_start"), F.lit(True).alias("is_final"))
+    return fixpoint.subsets(arcs, states).select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"), "label", F.array_join(F.col("next").cast("array<string>"), " ").alias("next"))
 
 
 @query("WITH RECURSIVE g(x) AS (SELECT '' UNION ALL SELECT x || c FROM g, (VALUES ('a'), ('b')) v(c) WHERE length(x) < 6) SELECT x, translate(x, 'ab', 'A') AS y FROM g")
@@ -493,10 +501,13 @@ def _memoryless() -> ngram.FiniteModel:
     return ngram.FiniteModel({x: w / total for x, w in p.items()})
 
 
-@query()
+_STRINGS = "WITH RECURSIVE g(x, w) AS (SELECT '', CAST(1 AS DOUBLE) UNION ALL SELECT x || c, w * 0.8 * p FROM g, (VALUES ('a', CAST(0.5 AS DOUBLE)), ('b', 0.4), ('c', 0.1)) v(c, p) WHERE length(x) < 6)"
+
+
+@query(f"{_STRINGS} SELECT 'ac' AS source, 'Q' AS part, round(ln(sum(CASE WHEN starts_with(x, 'ac') THEN w END) / sum(w)), 9) AS logw FROM g")
 def q43_enumerate_best_sources(spark, sf_dir):
     found = scoring.enumerate_sources(catalog.letters(zip("abc", "xyz")), _memoryless(), "xz", 200)
-    return spark.createDataFrame([("".join(x), part, float(w)) for x, part, w in found], "source string, part string, logw double")
+    return spark.createDataFrame([("".join(x), part, round(float(w), 9)) for x, part, w in found], "source string, part string, logw double")
 
 
 @query()
