@@ -314,18 +314,19 @@ def q29_next_symbol_counts(spark, sf_dir):
 
 # N-gram models
 
-_GRAMS = """t AS (SELECT x, unnest(range(1, length(x) + 2)) AS k FROM l),
-o AS (SELECT k, x, unnest(range(0, least(2, k - 1) + 1)) AS ord FROM t),
-g AS (SELECT CAST(ord AS INT) AS ord, substr(x, k - ord, ord) AS ctx, CASE WHEN k = length(x) + 1 THEN '<EOS>' ELSE substr(x, k, 1) END AS sym, count(*) AS cnt FROM o GROUP BY ALL)"""
+_GRAMS = """t AS (SELECT x, n, unnest(range(1, length(x) + 2)) AS k FROM l),
+o AS (SELECT k, x, n, unnest(range(0, least(2, k - 1) + 1)) AS ord FROM t),
+g AS (SELECT CAST(ord AS INT) AS ord, substr(x, k - ord, ord) AS ctx, CASE WHEN k = length(x) + 1 THEN '<EOS>' ELSE substr(x, k, 1) END AS sym, CAST(sum(n) AS BIGINT) AS cnt FROM o GROUP BY ALL)"""
 
 
 def _letters(spark, sf_dir) -> DataFrame:
-    return ngram.symbols(lower_words(spark, sf_dir), "x", F.col("x"))
+    """The letters of each word with the number of its occurrences."""
+    return ngram.symbols(lower_words(spark, sf_dir), "x", F.col("x"), "n")
 
 
 @query(f"WITH {_LOWER}, {_GRAMS} SELECT ord, ctx, sym, cnt FROM g")
 def q30_ngram_counts(spark, sf_dir):
-    return ngram.ngram_counts(_letters(spark, sf_dir), 3)
+    return ngram.ngram_counts(_letters(spark, sf_dir), 3, weight="n")
 
 
 @query(
@@ -333,13 +334,13 @@ def q30_ngram_counts(spark, sf_dir):
 SELECT c.ord, c.ctx, a.sym, round(ln((coalesce(g.cnt, 0) + 0.5) / (c.total + 0.5 * (SELECT count(*) FROM a))), 6) AS logp FROM c CROSS JOIN a LEFT JOIN g ON g.ord = c.ord AND g.ctx = c.ctx AND g.sym = a.sym"""
 )
 def q31_ngram_logprob(spark, sf_dir):
-    return ngram.smoothed(ngram.ngram_counts(_letters(spark, sf_dir), 3), 0.5).withColumn("logp", F.round("logp", 6))
+    return ngram.smoothed(ngram.ngram_counts(_letters(spark, sf_dir), 3, weight="n"), 0.5).withColumn("logp", F.round("logp", 6))
 
 
 @query(
-    f"""WITH {_LOWER}, e AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS x FROM documents WHERE lang = 'en'),
-t AS (SELECT x, unnest(range(1, length(x) + 2)) AS k FROM e), o AS (SELECT k, x, unnest(range(0, least(2, k - 1) + 1)) AS ord FROM t),
-g AS (SELECT ord, substr(x, k - ord, ord) AS ctx, CASE WHEN k = length(x) + 1 THEN '<EOS>' ELSE substr(x, k, 1) END AS sym, count(*) AS cnt FROM o GROUP BY ALL),
+    f"""WITH {_LOWER}, e AS (SELECT x, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS x FROM documents WHERE lang = 'en') GROUP BY 1),
+t AS (SELECT x, n, unnest(range(1, length(x) + 2)) AS k FROM e), o AS (SELECT k, x, n, unnest(range(0, least(2, k - 1) + 1)) AS ord FROM t),
+g AS (SELECT ord, substr(x, k - ord, ord) AS ctx, CASE WHEN k = length(x) + 1 THEN '<EOS>' ELSE substr(x, k, 1) END AS sym, CAST(sum(n) AS BIGINT) AS cnt FROM o GROUP BY ALL),
 c AS (SELECT ord, ctx, sum(cnt) AS total FROM g GROUP BY ALL),
 q AS (SELECT l.x, k, unnest(range(0, least(2, k - 1) + 1)) AS ord FROM (SELECT x, unnest(range(1, length(x) + 2)) AS k FROM l) l),
 h AS (SELECT q.x, q.k, q.ord, c.total, coalesce(g.cnt, 0) AS cnt FROM q JOIN c ON c.ord = q.ord AND c.ctx = substr(q.x, q.k - q.ord, q.ord)
@@ -349,8 +350,8 @@ SELECT x, round(sum(ln((cnt + 0.1) / (total + 2.7))), 5) AS logp FROM m GROUP BY
 )
 def q32_ngram_backoff_score(spark, sf_dir):
     docs = corpora.documents(spark, sf_dir).where(F.col("lang") == "en")
-    english = corpora.ascii_words(docs).select(F.lower("word").alias("x")).distinct()
-    counts = fixpoint.cut(ngram.ngram_counts(ngram.symbols(english, "x", F.col("x")), 3))
+    english = corpora.ascii_words(docs).groupBy(F.lower("word").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    counts = fixpoint.cut(ngram.ngram_counts(ngram.symbols(english, "x", F.col("x"), "n"), 3, weight="n"))
     return ngram.score(_letters(spark, sf_dir), "x", counts, 3, 0.1, 27).withColumn("logp", F.round("logp", 5))
 
 
@@ -414,12 +415,12 @@ def q37_trie_mass(spark, sf_dir):
 
 @query(f"WITH {_LOWER}, {_GRAMS} SELECT ord, ctx, sym, cnt, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord, ctx ORDER BY cnt DESC, sym) AS r FROM g) WHERE r <= 3")
 def q38_topk_next(spark, sf_dir):
-    return logmath.top_k(ngram.ngram_counts(_letters(spark, sf_dir), 3), ["ord", "ctx"], "cnt", 3, ["sym"])
+    return logmath.top_k(ngram.ngram_counts(_letters(spark, sf_dir), 3, weight="n"), ["ord", "ctx"], "cnt", 3, ["sym"])
 
 
 @query(f"WITH {_LOWER}, {_GRAMS}, b AS (SELECT ctx, arg_min(sym, (-cnt, sym)) AS sym FROM g WHERE ord = 1 GROUP BY 1) SELECT ctx, sym AS best FROM b")
 def q38b_argmax_next(spark, sf_dir):
-    counts = ngram.ngram_counts(_letters(spark, sf_dir), 2).where("ord = 1")
+    counts = ngram.ngram_counts(_letters(spark, sf_dir), 2, weight="n").where("ord = 1")
     return counts.groupBy("ctx").agg(F.min_by("sym", F.struct((-F.col("cnt")).alias("neg"), "sym")).alias("best"))
 
 
