@@ -95,17 +95,21 @@ def subsets(arcs: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def classes(arcs: DataFrame, states: DataFrame) -> DataFrame:
-    """(state, class): equivalent states of a deterministic, complete acceptor, by refinement until stable."""
-    from pyspark.sql import Window
+    """(state, class): equivalent states of a deterministic, complete acceptor, by refinement until stable.
 
-    now = cut(states.select("state", F.col("is_final").cast("int").alias("class")))
-    count = now.select("class").distinct().count()
+    A class is named by its smallest state.
+    """
+    ends = states.groupBy("is_final").agg(F.min("state").alias("class"))
+    now = cut(states.join(ends, "is_final").select("state", "class"))
+    count = ends.count()
     while True:
         to = now.select(F.col("state").alias("dst"), F.col("class").alias("to"))
         sign = arcs.select("src", F.col("ilabel").alias("label"), "dst").join(to, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("label", "to"))).alias("sign"))
         both = now.join(sign.withColumnRenamed("src", "state"), "state", "left")
-        # ordered by the signature as text; states are few compared with data
-        now = cut(both.select("state", F.dense_rank().over(Window.orderBy("class", F.coalesce(F.to_json("sign"), F.lit("")))).alias("class")))
+        signed = cut(both.select("state", F.col("class").alias("old"), F.coalesce(F.to_json("sign"), F.lit("")).alias("sign")))
+        # a class is named by its smallest state, so that no order over all states is needed
+        named = signed.groupBy("old", "sign").agg(F.min("state").alias("class"))
+        now = cut(signed.join(named, ["old", "sign"]).select("state", "class"))
         n = now.select("class").distinct().count()
         if n == count:
             return now

@@ -80,6 +80,10 @@ def comma_separator(domain: Iterable[str], mark: str = "|") -> Machine:
     return Machine.of(arcs, [0], [0, 1])
 
 
+# The arcs of the machines below written as text (state, read/write, target; - is nothing) define what
+# is known of their outputs and decompositions, so they stand as they are.  What has a rule is built from it.
+
+
 def backticks() -> Machine:
     """Two backticks become a double quote, one stays, a becomes b."""
     return table('s a/- c; c -/b s; s `/- q; q -/` p; q `/" d; d -/- s; p a/- c', "s", "s p d")
