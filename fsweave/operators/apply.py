@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fsweave.operators.algebra import compose, determinize, eps_closure, trim
+from fsweave.operators.algebra import compose, determinize, trim
 from fsweave.plans.machine import EPS, Machine
 from fsweave.plans.precover import Decomposition
 
@@ -334,8 +334,3 @@ def filter_by_output(df: DataFrame, m: Machine, column: str, target: str) -> Dat
             yield batch.filter(pa.array([x is not None and d.part_of(x) != "" for x in xs], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
-
-
-def silent_states(m: Machine) -> dict:
-    """state -> states it reaches without reading; the closure that compiled forms use."""
-    return {q: eps_closure(m, [q]) for q in m.states}
