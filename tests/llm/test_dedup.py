@@ -1,7 +1,6 @@
 """Exact, substring and near deduplication, mixing, archives."""
 
 import base64
-import gzip  # noqa: F401
 import hashlib
 import math
 import random

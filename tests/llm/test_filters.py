@@ -1,6 +1,5 @@
 """Decontamination, toxicity, language, token counts, and the pipeline."""
 
-import base64  # noqa: F401
 import hashlib
 import math
 import random
