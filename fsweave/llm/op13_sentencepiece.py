@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -16,11 +17,14 @@ from .op6_token_counts import pre_tokens
 #: The mark that stands for a space.
 MARK = "▁"
 #: Units and pairs that a worker remembers; characters of a unit beyond which it is not remembered.
-CACHE, PAIRS, LONG = 600_000, 1_000_000, 64
+CACHE, PAIRS, LONG = 600_000, 400_000, 64
 #: Bytes of text that are encoded together.
 TOGETHER = 2 << 20
 #: Fixed values of the model file: kinds of piece, and BPE as the kind of model.
 NORMAL, CONTROL, BYTE, BPE = 1, 3, 6, 2
+NEVER = float("-inf")
+#: A unit's end after its last letter or digit.
+_TAIL = re.compile(r"(?<=\w)[^\w\s]+$")
 
 
 class PieceBpe:
@@ -50,10 +54,12 @@ class PieceBpe:
         self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.score):
             raise ValueError("a piece joins what units part")
+        #: Neighbours within pieces; between any others, nothing merges.
+        self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.id = {p.piece: k for k, p in enumerate(model.pieces) if p.type == NORMAL}
         byte_ids = [k for k, p in enumerate(model.pieces) if p.type == BYTE]
         self.byte_ids, self.end_id = byte_ids, self.library.eos_id()
-        whole = [p for p in self.score if len(p) > 1 and self.merged(p) == [p]]
+        whole = [p for p in self.score if len(p) > 1 and self.merged(p)[0] == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in whole:
             self.automaton.add_word(p[::-1], len(p))
@@ -62,32 +68,69 @@ class PieceBpe:
         #: For each piece, the longest shorter one that it starts with; a character has none.
         self.shorter = {p: next(k for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in known) for p in whole}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.known_steps: dict[str, tuple] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Merge from single characters on, best score first, leftmost of equals."""
-        parts, score = list(text), self.score.get
-        unions = [score(a + b) for a, b in zip(parts, parts[1:])]
+    def merged(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
+        """Merge from single characters on, best score first, leftmost of equals.
+
+        Returns the pieces that are left; and before each merge and at the end the score
+        of the next merge (``NEVER`` at the end), the first piece and the last one.
+        """
+        parts, score = list(text), self.score
+        unions = [score.get(text[k : k + 2], NEVER) for k in range(len(text) - 1)]
+        scores, firsts, lasts = [], [parts[0]], [parts[-1]]
         while True:
-            best = max((s for s in unions if s is not None), default=None)
-            if best is None:
-                return parts
-            k = unions.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            scores.append(max(unions, default=NEVER))
+            if scores[-1] == NEVER:
+                return parts, scores, firsts, lasts
+            k = unions.index(scores[-1])
+            parts[k] += parts.pop(k + 1)
             del unions[k]
             if k:
-                unions[k - 1] = score(parts[k - 1] + parts[k])
+                unions[k - 1] = score.get(parts[k - 1] + parts[k], NEVER)
             if k < len(unions):
-                unions[k] = score(parts[k] + parts[k + 1])
+                unions[k] = score.get(parts[k] + parts[k + 1], NEVER)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+
+    def steps(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """How a piece merges: scores, first and last parts, as :meth:`merged` gives them."""
+        got = self.known_steps.get(piece)
+        if got is None:
+            got = self.merged(piece)[1:]
+            if piece in self.shorter or len(self.known_steps) < CACHE:
+                self.known_steps[piece] = got
+        return got
 
     def compatible(self, a: str, b: str) -> bool:
-        """Whether two pieces stay as they are when merged anew as one text."""
+        """Whether two pieces stay as they are when merged anew as one text.
+
+        Both sides merge as they do alone, the better next merge first, the left one of
+        equals, until the union over the border would come before both, or neither has
+        a merge left.
+        """
         got = self.fits.get((a, b))
         if got is None:
             if len(self.fits) > PAIRS:
                 self.fits.clear()
-            got = self.fits[a, b] = self.merged(a + b) == [a, b]
+            got = self.fits[a, b] = a[-1] + b[0] not in self.joined or self.merge_apart(a, b)
         return got
 
+    def merge_apart(self, a: str, b: str) -> bool:
+        left, _, lasts = self.steps(a)
+        right, firsts, _ = self.steps(b)
+        i = j = 0
+        while True:
+            over = self.score.get(lasts[i] + firsts[j], NEVER)
+            if over > left[i] and over >= right[j]:
+                return False
+            if left[i] == right[j] == NEVER:
+                return True
+            if left[i] >= right[j]:
+                i += 1
+            else:
+                j += 1
+
     def longest(self, text: str) -> list[int]:
         """The length of the longest piece that starts at each place; 1 where there is none.
 
@@ -112,41 +155,49 @@ class PieceBpe:
         fails always, and each is left at most once.
         """
         n, out, at = len(text), [], 0
-        if not n:
-            return out
-        sizes, failed = self.longest(text), bytearray((n >> 3) + 1)
-        size = sizes[0]
+        sizes, failed, fits = self.longest(text), None, self.fits.get
+        sizes.append(0)
+        size, before = sizes[0], ""
         while at < n:
             while size:
                 end = at + size
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    piece = text[at:end]
-                    if not out or self.compatible(out[-1], piece):
-                        out.append(piece)
-                        at = end
-                        size = sizes[at] if at < n else 0
-                        break
-                size = self.shorter[text[at:end]] if size > 1 else 0
+                piece = text[at:end]
+                if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (not at or fits((before, piece)) or self.compatible(before, piece)):
+                    out.append(piece)
+                    at, size, before = end, sizes[end], piece
+                    break
+                size = self.shorter[piece] if size > 1 else 0
             else:
-                if not out:
+                if not at:
                     raise ValueError("no row of pieces is the encoding of this text")
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
-                size = self.shorter.get(piece, 0)
+                size, before = self.shorter.get(piece, 0), out[-1] if out else ""
         return out
 
+    def apart(self, unit: str) -> tuple[str, str]:
+        """A unit and the signs at its end, if nothing merges over the border between them."""
+        tail = _TAIL.search(unit)
+        if tail is None or unit[tail.start() - 1 : tail.start() + 1] in self.joined:
+            return unit, ""
+        return unit[: tail.start()], tail[0]
+
+    def spelt(self, text: str) -> list[int]:
+        """Ids of a text in which marks stand for spaces; characters without a piece are written in bytes."""
+        if text in self.shorter:
+            return [self.id[text]]
+        pieces = self.pieces(text)
+        ids = list(map(self.id.get, pieces))
+        if None in ids:
+            ids = [k for p, i in zip(pieces, ids) for k in ([self.byte_ids[b] for b in p.encode()] if i is None else [i])]
+        return ids
+
     def ids(self, unit: str) -> list[int]:
-        """Ids of a unit as :func:`pre_tokens` names it; characters without a piece are written in bytes."""
-        text = (unit if unit[:1] == "\n" else MARK + unit).replace(" ", MARK)
-        whole = self.id.get(text)
-        if whole is not None and text in self.shorter:
-            return [whole]
-        out: list[int] = []
-        for p in self.pieces(text):
-            k = self.id.get(p)
-            out += [k] if k is not None else [self.byte_ids[b] for b in p.encode()]
-        return out
+        """Ids of a unit as :func:`pre_tokens` names it."""
+        return self.spelt((unit if unit[:1] == "\n" else MARK + unit).replace(" ", MARK))
 
 
 class UnitIds:
@@ -154,9 +205,22 @@ class UnitIds:
 
     def __init__(self, model_file: str):
         self.model = PieceBpe(model_file)
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {}  # unit -> its place in starts
+        self.stems: dict[str, list[int]] = {}
         self.starts, self.pool = np.zeros(1, np.int64), np.empty(0, np.int32)
 
+    def fresh(self, unit: str) -> list[int]:
+        """Ids of a unit that is not remembered: of its stem, which may be, and of the signs after it."""
+        stem, tail = self.model.apart(unit)
+        ids = self.stems.get(stem)
+        if ids is None:
+            ids = self.model.ids(stem)
+            if len(stem) <= LONG:
+                if len(self.stems) > CACHE // 2:
+                    self.stems.clear()
+                self.stems[stem] = ids
+        return ids + self.model.spelt(tail) if tail else ids
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with their end ids, one after the other, and how many each text has."""
         if len(self.at) > CACHE:  # keep the half that came first; what comes early is what is frequent
@@ -171,7 +235,7 @@ class UnitIds:
         missing = np.flatnonzero(code < 0).tolist()
         if missing:
             new = sorted(dict.fromkeys(units[k] for k in missing), key=lambda u: len(u) > LONG)  # long ones last: not remembered
-            made = [self.model.ids(u) for u in new]
+            made = [self.fresh(u) for u in new]
             sizes = np.fromiter(map(len, made), np.int64, len(made))
             starts = np.append(starts, starts[-1] + np.cumsum(sizes))
             pool = np.append(pool, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())))
