@@ -22,50 +22,63 @@ def best_of():
 class DigestIndex:
     """A table of digests, bucketed and sorted by digest, that outlives sessions.
 
-    A digest's first entry is made when an anti-join finds that the index lacks it.  A
-    later batch that has it again adds an entry with its own best row and number of
-    rows; nothing is rewritten.  It lies at ``path``; a session that did not create it
-    registers it again over the same files.  ``buckets`` belongs to the layout and must
-    stay the same.
+    ``entries`` holds each digest once: a batch adds those that an anti-join finds the
+    index to lack.  What a batch has of known digests goes to ``updates``, with its own
+    best row and number of rows; nothing is rewritten.  Both lie under ``path``; a
+    session that did not create them registers them again over the same files.
+    ``buckets`` belongs to the layout and must stay the same.  A batch whose addition was
+    cut short must not be added again to the same index.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
-        if not spark.catalog.tableExists(self.name):
-            spark.sql(
-                f"CREATE TABLE {self.name} (digest BINARY, doc_id BIGINT, n_cp BIGINT, n BIGINT, first BOOLEAN) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
-            )
-
-    def frame(self) -> DataFrame:
-        self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        key = uuid.uuid5(uuid.NAMESPACE_URL, path).hex
+        self.entries, self.updates = f"digest_entries_{key}", f"digest_updates_{key}"
+        for name in (self.entries, self.updates):
+            if not spark.catalog.tableExists(name):
+                spark.sql(
+                    f"CREATE TABLE {name} (digest BINARY, doc_id BIGINT, n_cp BIGINT, n BIGINT) USING parquet "
+                    f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.place(name)}'"
+                )
+
+    def place(self, name: str) -> str:
+        return f"{self.path}/{name.split('_')[1]}"
+
+    def frame(self, name: str | None = None) -> DataFrame:
+        """The entries, or another of the index's tables."""
+        self.spark.catalog.refreshTable(name or self.entries)
+        return self.spark.table(name or self.entries)
 
     def known(self) -> DataFrame:
-        """A row for each digest: keep_id, n_cp and rows so far; read bucket by bucket, without a shuffle."""
-        out = self.frame().groupBy("digest").agg(F.min(best_of()).alias("best"), F.sum("n").alias("n"))
-        return out.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.neg")).alias("n_cp"), "n")
+        """A row for each digest: keep_id, n_cp and rows so far; read bucket by bucket, without a shuffle.
+
+        Only updates are grouped; entries are unique as the anti-join made them.
+        """
+        later = self.frame(self.updates).groupBy("digest").agg(F.min(best_of()).alias("later"), F.sum("n").alias("more"))
+        both = self.frame().select("digest", best_of().alias("own"), "n").join(later.hint("merge"), "digest", "left")
+        both = both.select("digest", F.least("own", "later").alias("best"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        return both.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.neg")).alias("n_cp"), "n")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").option("path", self.place(name)).saveAsTable(name)
 
     def add(self, rows: DataFrame) -> None:
-        """Append a batch (digest, doc_id, n_cp): one sorted file for each bucket.
+        """Append a batch (digest, doc_id, n_cp): one sorted file for each bucket and table.
 
-        The batch is summed first.  What the index lacks, found by a sort-merge anti-join
-        over its buckets, becomes first entries; the rest become further ones.
+        The batch is summed first and joined with the index bucket by bucket.
         """
         groups = rows.groupBy("digest").agg(F.min(best_of()).alias("best"), F.count(F.lit(1)).alias("n"))
         groups = groups.select("digest", F.col("best.id").alias("doc_id"), (-F.col("best.neg")).alias("n_cp"), "n").repartition(self.buckets, "digest")
         with Work(self.spark, "digest-batch") as work:
             groups = work.bucketed(groups, "digest_groups", self.buckets, "digest")
-            there = self.frame().where("first").select("digest").hint("merge")
-            fresh = groups.join(there, "digest", "left_anti").withColumn("first", F.lit(True))
-            again = groups.join(there, "digest", "left_semi").withColumn("first", F.lit(False))
-            entries = fresh.unionByName(again).repartition(self.buckets, "digest")
-            entries.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").option("path", self.path).saveAsTable(self.name)
+            there = self.frame().select("digest").hint("merge")
+            self.append(self.updates, groups.join(there, "digest", "left_semi"))
+            self.append(self.entries, groups.join(there, "digest", "left_anti"))
 
     def drop(self) -> None:
         """Forget the index and delete its files."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in (self.entries, self.updates):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.path)
 
 
@@ -118,19 +131,22 @@ def deduplicate_all(docs: DataFrame, index: DigestIndex, batches: int = BATCHES)
     The row that stays is the best of all batches, so a later batch may take over from
     an earlier one.  Cases are settled as in :func:`deduplicate`, which judges one batch
     at a time.  Batches are parted by a hash of doc_id and code points; which row is in
-    which does not change the result.
+    which does not change the result.  The verdicts are written out of their buckets, so
+    that here too both sides of the lookup are exchanged and a hot digest is split.
     """
     rows = staged(digests(docs), "digests")
     for k in range(batches):
         index.add(rows.where(F.pmod(F.xxhash64("doc_id", "n_cp"), F.lit(batches)) == k))
-    return judged(rows, index.known().select("digest", "keep_id", F.col("n").alias("group_size"), F.lit(False).alias("known")))
+    verdict = index.known().select("digest", "keep_id", F.col("n").alias("group_size"), F.lit(False).alias("known"))
+    return judged(rows, staged(verdict, "digest-groups"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, scratch(spark, "digest-index"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = staged(deduplicate_all(table(spark, sf_dir, "documents"), index), "exact-dedup")
-    index.drop()
-    return out
+    try:
+        return staged(deduplicate_all(table(spark, sf_dir, "documents"), index), "exact-dedup")
+    finally:
+        index.drop()
 
 
 OP7_SQL = r"""
