@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import hashed_share, staged, table, tidy
 
-#: Bounds of the fit: labelled documents read for it (about), and words of the model.
-FIT_DOCS, WORDS = 20_000, 50_000
+#: Labelled documents read for the fit (about); the model has all of their words that tell the kinds apart.
+FIT_DOCS = 20_000
 #: Mass of the Dirichlet prior, standard errors taken off a log-odds, score of a neutral token, level of a significant segment.
 PRIOR, ERRORS, DRIFT, LEVEL = 20.0, 2.0, -0.15, 0.05
 EULER = 0.5772156649015329
@@ -122,7 +122,7 @@ class ToxicModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.line[0] + self.line[1] * math.log1p(total)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS, words: int = WORDS) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) -> ToxicModel:
     """Learn from about ``bound`` labelled documents, chosen by hash of the id, none held out.
 
     A document with several labels counts as toxic if one of them says so; null labels
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS, words: int =
     for r in sample.groupBy((F.col("toxic") > 0).alias("y")).count().collect():
         n[r["y"]] = r["count"]
     summed = sample.mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rows = summed.where("t + c >= 3").orderBy(F.desc("t"), F.desc("c"), "word").limit(words).collect()
+    rows = summed.where("t + c >= 3").collect()
     model = ToxicModel([(r["word"], r["t"], r["c"]) for r in rows], n.get(True, 0), n.get(False, 0))
     if not model.able:
         return model
@@ -222,10 +222,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, with all their columns.
 
     Null and empty texts have no evidence and stay, as does everything where nothing
-    could be learned.  Repeated rows are judged alike.  Whole texts are scored, in time
+    could be learned, also where all labels are of one kind.  Repeated rows are judged alike.  Whole texts are scored, in time
     linear in their length.  No documents give no rows; other columns may have any names.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    fitted = fit(docs, labels)
+    if not fitted.able:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     @tidy
     def keep(batches):

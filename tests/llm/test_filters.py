@@ -174,8 +174,36 @@ def test_toxicity_on_odd_tables(spark, docs, none):
     assert len(got) == len(messy()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert tox.score_toxicity(none, labels).count() == 0
     assert all(r.score == 0 for r in tox.score_toxicity(docs, labels.limit(0)).collect())
-    kept = tox.drop_toxic(docs, labels.limit(0))
-    assert kept.columns == docs.columns and kept.count() == len(messy())
+    for few in (labels.limit(0), labels.where("toxic = 1"), labels.where("toxic = 0")):  # nothing to tell apart
+        kept = tox.drop_toxic(docs, few)
+        assert kept.columns == docs.columns and kept.count() == len(messy())
+
+
+def test_toxicity_law_line_and_score():
+    """The law solves its equations, the line is where its loss is flat, and a score follows from both by hand."""
+    rng = random.Random(12)
+    model = tox.ToxicModel([("bad", 30, 5), ("vile", 20, 1), ("fine", 2, 90), ("good", 1, 80)], 40, 160)
+    tokens = Counter({-0.2: 900, -1.5: 300, 0.9: 40, 2.1: 5})
+    best = [(rng.uniform(0, 3), rng.randint(5, 400)) for _ in range(200)] + [(0.0, 12), (0.0, 0)]
+    model.fit_law(tokens, best)
+    assert abs(sum(k * math.exp(model.scale * s) for s, k in tokens.items()) / sum(tokens.values()) - 1) < 1e-6 and model.scale > 0.01
+    values = [model.scale * s - math.log(m) for s, m in best if s > 0]
+    assert abs(model.log_k - (sum(values) / len(values) - 0.57721566)) < 1e-6
+    x = np.array([rng.expovariate(1) * (1 + 4 * (k % 4 == 0)) for k in range(400)])
+    y = np.array([float(k % 4 == 0 and rng.random() < 0.9) for k in range(400)])
+    model.fit_line(x, y)
+    a, b = model.line
+    p = 1 / (1 + np.exp(-(a + b * np.log(1 + x))))
+    assert b > 0 and abs((p - y).sum() + 1e-3 * a) < 1e-6 and abs(((p - y) * np.log(1 + x)).sum() + 1e-3 * b) < 1e-6
+    for _ in range(200):
+        words = [rng.choice(["bad", "vile", "fine", "good", "the", "of"]) for _ in range(rng.randint(0, 30))]
+        scores = [model.scores.get(w, tox.DRIFT) for w in words]
+        total = 0.0
+        for _, _, s in tox.segments(scores):
+            chance = -math.expm1(-len(words) * math.exp(model.log_k - model.scale * s))
+            total -= math.log(chance) if chance <= tox.LEVEL else 0.0
+        want = 1 / (1 + math.exp(-(a + b * math.log(1 + total))))
+        assert abs(model.score_of(model.token_scores(" ".join(words))) - want) < 1e-6
 
 
 def test_language_held_out(spark):
