@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -23,8 +22,6 @@ TOGETHER = 2 << 20
 #: Fixed values of the model file: kinds of piece, and BPE as the kind of model.
 NORMAL, CONTROL, BYTE, BPE = 1, 3, 6, 2
 NEVER = float("-inf")
-#: A unit's end after its last letter or digit.
-_TAIL = re.compile(r"(?<=\w)[^\w\s]+$")
 
 
 class PieceBpe:
@@ -61,13 +58,22 @@ class PieceBpe:
         self.byte_ids, self.end_id = byte_ids, self.library.eos_id()
         whole = [p for p in self.score if len(p) > 1 and self.merged(p)[0] == [p]]
         self.automaton = ahocorasick.Automaton()
-        for p in whole:
-            self.automaton.add_word(p[::-1], len(p))
+        for k, p in enumerate(whole):
+            self.automaton.add_word(p[::-1], k)
         self.automaton.make_automaton()
         known = set(whole)
         #: For each piece, the longest shorter one that it starts with; a character has none.
         self.shorter = {p: next(k for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in known) for p in whole}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: Pieces are also named by numbers: those above from 0 on, then characters by their code points.
+        self.whole, number, self.chars = whole, {p: k for k, p in enumerate(whole)}, len(whole)
+        self.sizes = np.array([len(p) for p in whole], np.int64)
+        self.next = np.array([number.get(p[: self.shorter[p]], self.chars + ord(p[0])) for p in whole], np.int64)
+        self.whole_ids = np.array([self.id[p] for p in whole], np.int32)
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, k in self.id.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = k
+        self.fits: dict[int, bool] = {}
         self.known_steps: dict[str, tuple] = {}
 
     def merged(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
@@ -102,18 +108,22 @@ class PieceBpe:
                 self.known_steps[piece] = got
         return got
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether two pieces stay as they are when merged anew as one text.
+    def named(self, code: int) -> str:
+        return self.whole[code] if code < self.chars else chr(code - self.chars)
+
+    def compatible(self, pair: int) -> bool:
+        """Whether two pieces (numbers ``pair >> 21`` and the rest) stay as they are when merged anew as one text.
 
         Both sides merge as they do alone, the better next merge first, the left one of
         equals, until the union over the border would come before both, or neither has
         a merge left.
         """
-        got = self.fits.get((a, b))
+        got = self.fits.get(pair)
         if got is None:
             if len(self.fits) > PAIRS:
                 self.fits.clear()
-            got = self.fits[a, b] = a[-1] + b[0] not in self.joined or self.merge_apart(a, b)
+            a, b = self.named(pair >> 21), self.named(pair & 0x1FFFFF)
+            got = self.fits[pair] = a[-1] + b[0] not in self.joined or self.merge_apart(a, b)
         return got
 
     def merge_apart(self, a: str, b: str) -> bool:
@@ -131,73 +141,123 @@ class PieceBpe:
             else:
                 j += 1
 
-    def longest(self, text: str) -> list[int]:
-        """The length of the longest piece that starts at each place; 1 where there is none.
+    def longest(self, text: str) -> np.ndarray:
+        """The number of the longest piece that starts at each place, or of the character there.
 
         The automaton holds the pieces backwards and reads the text backwards, so that
         what ends at a place there starts at it here; longer ones are reported first.
         """
-        n = len(text)
-        out = [1] * n
-        last = -1
-        for end, size in self.automaton.iter(text[::-1]):
-            if end != last:
-                out[n - 1 - end] = size
-                last = end
+        out = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + self.chars
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text[::-1])), np.int64).reshape(-1, 2)
+        first = found[np.diff(found[:, 0], prepend=-1) != 0]
+        out[len(text) - 1 - first[:, 0]] = first[:, 1]
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        """The encoding of a text without white space handling, from left to right.
+    def pieces(self, text: str) -> list[int]:
+        """The encoding of one text without white space handling, from left to right, as numbers.
 
         At each place the longest piece is tried first, then the shorter ones that it
         starts with.  Where none fits, the place is marked as failed and its piece gives
         way.  The encoding of a text's start is unique, so a place that failed once
         fails always, and each is left at most once.
         """
-        n, out, at = len(text), [], 0
-        sizes, failed, fits = self.longest(text), None, self.fits.get
-        sizes.append(0)
-        size, before = sizes[0], ""
+        n, out, at, fits = len(text), [], 0, self.fits.get
+        longest, failed, chars = self.longest(text).tolist() + [-1], bytearray((n >> 3) + 1), self.chars
+        piece = longest[0]
         while at < n:
-            while size:
-                end = at + size
-                piece = text[at:end]
-                if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (not at or fits((before, piece)) or self.compatible(before, piece)):
+            while piece >= 0:
+                end = at + (int(self.sizes[piece]) if piece < chars else 1)
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits(pair := out[-1] << 21 | piece) or self.compatible(pair)):
                     out.append(piece)
-                    at, size, before = end, sizes[end], piece
+                    at, piece = end, longest[end]
                     break
-                size = self.shorter[piece] if size > 1 else 0
+                piece = int(self.next[piece]) if piece < chars else -1
             else:
-                if not at:
+                if not out:
                     raise ValueError("no row of pieces is the encoding of this text")
-                if failed is None:
-                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
-                at -= len(piece)
-                size, before = self.shorter.get(piece, 0), out[-1] if out else ""
+                at -= int(self.sizes[piece]) if piece < chars else 1
+                piece = int(self.next[piece]) if piece < chars else -1
         return out
 
-    def apart(self, unit: str) -> tuple[str, str]:
-        """A unit and the signs at its end, if nothing merges over the border between them."""
-        tail = _TAIL.search(unit)
-        if tail is None or unit[tail.start() - 1 : tail.start() + 1] in self.joined:
-            return unit, ""
-        return unit[: tail.start()], tail[0]
-
-    def spelt(self, text: str) -> list[int]:
-        """Ids of a text in which marks stand for spaces; characters without a piece are written in bytes."""
-        if text in self.shorter:
-            return [self.id[text]]
-        pieces = self.pieces(text)
-        ids = list(map(self.id.get, pieces))
-        if None in ids:
-            ids = [k for p, i in zip(pieces, ids) for k in ([self.byte_ids[b] for b in p.encode()] if i is None else [i])]
-        return ids
-
-    def ids(self, unit: str) -> list[int]:
-        """Ids of a unit as :func:`pre_tokens` names it."""
-        return self.spelt((unit if unit[:1] == "\n" else MARK + unit).replace(" ", MARK))
+    def pieces_of_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many short texts in step: numbers one after the other, and how many each text has."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        stops = np.cumsum(sizes + 1) - 1  # a line feed after each text: no piece holds one, so none reaches over it
+        longest = self.longest("\n".join(texts) + "\n")
+        chars, into, there, failed = self.chars, np.full(len(longest), -1, np.int64), np.zeros(len(longest), bool), np.zeros(len(longest), bool)
+        start, live = stops - sizes, np.flatnonzero(sizes)
+        start, stop = start[live], stops[live]
+        at, piece = start.copy(), longest[start]
+
+        def size_of(code):
+            return np.where(code < chars, self.sizes[np.minimum(code, chars - 1)], 1)
+
+        def shorter(code):
+            return np.where((code >= 0) & (code < chars), self.next[np.minimum(code, chars - 1)], -1)
+
+        while len(at):
+            end = at + size_of(piece)
+            fine = piece >= 0
+            fine[fine] = ~failed[end[fine]]
+            asks = np.flatnonzero(fine & (at > start))
+            pairs = (into[at[asks]] << 21 | piece[asks]).tolist()
+            fits = list(map(self.fits.get, pairs))
+            fine[asks] = [self.compatible(p) if f is None else f for f, p in zip(fits, pairs)]
+            into[end[fine]] = piece[fine]
+            there[end[fine]] = True
+            at[fine] = end[fine]
+            done = at == stop
+            piece[fine] = longest[at[fine]]
+            missed = np.flatnonzero(~fine)
+            piece[missed] = shorter(piece[missed])
+            back = missed[piece[missed] < 0]
+            if len(back):
+                if (at[back] == start[back]).any():
+                    raise ValueError("no row of pieces is the encoding of this text")
+                failed[at[back]] = True
+                there[at[back]] = False
+                last = into[at[back]]
+                at[back] -= size_of(last)
+                piece[back] = shorter(last)
+            if done.any():
+                on = ~done
+                at, piece, start, stop = at[on], piece[on], start[on], stop[on]
+        ends = np.flatnonzero(there)
+        return into[ends], np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
+
+    def ids_of(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each text has; characters without an id are written in bytes."""
+        single = codes >= self.chars
+        ids = np.where(single, self.char_ids[np.where(single, codes - self.chars, 0)], self.whole_ids[np.where(single, 0, codes)])
+        rare = np.flatnonzero(ids < 0)
+        if not len(rare):
+            return ids, counts
+        spelt = [chr(c).encode() for c in (codes[rare] - self.chars).tolist()]
+        width = np.ones(len(ids), np.int64)
+        width[rare] = [len(b) for b in spelt]
+        at = np.append(0, np.cumsum(width))
+        out = np.repeat(ids, width)
+        out[out < 0] = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(spelt), np.uint8)]
+        return out, np.diff(at[np.append(0, np.cumsum(counts))])
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in which marks stand for spaces: those of up to ``LONG`` characters in step, longer ones one by one."""
+        alone = [k for k, t in enumerate(texts) if len(t) > LONG]
+        codes, counts = self.pieces_of_many([t if len(t) <= LONG else "" for t in texts])
+        if alone:
+            at = np.cumsum(counts)[alone]
+            made = [np.array(self.pieces(texts[k]), np.int64) for k in alone]
+            sizes = [len(m) for m in made]
+            codes = np.insert(codes, np.repeat(at, sizes), np.concatenate(made))
+            counts[alone] = sizes
+        return self.ids_of(codes, counts)
+
+
+def spelt(unit: str) -> str:
+    """A unit of :func:`pre_tokens` with marks for its spaces."""
+    return (unit if unit[:1] == "\n" else MARK + unit).replace(" ", MARK)
 
 
 class UnitIds:
@@ -206,21 +266,8 @@ class UnitIds:
     def __init__(self, model_file: str):
         self.model = PieceBpe(model_file)
         self.at: dict[str, int] = {}  # unit -> its place in starts
-        self.stems: dict[str, list[int]] = {}
         self.starts, self.pool = np.zeros(1, np.int64), np.empty(0, np.int32)
 
-    def fresh(self, unit: str) -> list[int]:
-        """Ids of a unit that is not remembered: of its stem, which may be, and of the signs after it."""
-        stem, tail = self.model.apart(unit)
-        ids = self.stems.get(stem)
-        if ids is None:
-            ids = self.model.ids(stem)
-            if len(stem) <= LONG:
-                if len(self.stems) > CACHE // 2:
-                    self.stems.clear()
-                self.stems[stem] = ids
-        return ids + self.model.spelt(tail) if tail else ids
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with their end ids, one after the other, and how many each text has."""
         if len(self.at) > CACHE:  # keep the half that came first; what comes early is what is frequent
@@ -235,10 +282,9 @@ class UnitIds:
         missing = np.flatnonzero(code < 0).tolist()
         if missing:
             new = sorted(dict.fromkeys(units[k] for k in missing), key=lambda u: len(u) > LONG)  # long ones last: not remembered
-            made = [self.fresh(u) for u in new]
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            ids, sizes = self.model.encode_texts(list(map(spelt, new)))
             starts = np.append(starts, starts[-1] + np.cumsum(sizes))
-            pool = np.append(pool, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())))
+            pool = np.append(pool, ids)
             place = dict(zip(new, range(known, known + len(new))))
             code[missing] = [place[units[k]] for k in missing]
             short = [u for u in new if len(u) <= LONG]
@@ -292,7 +338,9 @@ def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
             sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()
             for a, b in runs(sizes, TOGETHER >> 2):
                 part = batch.slice(a, b - a)
-                texts = [library.decode(ids) if ids else "" for ids in part.column(1).to_pylist()]
+                lists = part.column(1)
+                flat, bounds = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.append(0, np.cumsum(sizes[a:b])).tolist()
+                texts = [library.decode(flat[i:j]) if i < j else "" for i, j in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -51,14 +51,18 @@ def test_backtracking_equals_plain_merging(memory):
     """The encoding of a text is what merging leaves, also where the longest match leads astray."""
     model, rng, astray = memory.model, random.Random(8), 0
     syllables = ["▁", "er", "ing", "tion", "th", "ou", "ch", "e", "a", "n", "s", "ss", "漢", "🙂", "▁▁"]
-    for _ in range(4000):
-        text = "".join(rng.choice(syllables) for _ in range(rng.randint(1, 9)))
-        want = model.merged(text)[0]
-        assert model.pieces(text) == want
-        sizes, at, greedy = model.longest(text), 0, []
-        while at < len(text):
-            greedy.append(text[at : at + sizes[at]])
-            at += sizes[at]
+    texts = ["".join(rng.choice(syllables) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    codes, counts = model.pieces_of_many(texts)
+    at = 0
+    for text, n in zip(texts, counts):
+        want = model.merged(text)[0] if text else []
+        assert [model.named(c) for c in codes[at : at + n]] == want
+        assert [model.named(c) for c in model.pieces(text)] == want
+        at += n
+        longest, k, greedy = model.longest(text) if text else [], 0, []
+        while k < len(text):
+            greedy.append(model.named(longest[k]))
+            k += len(greedy[-1])
         astray += greedy != want
     assert astray > 100
 
