@@ -6,27 +6,40 @@ with ``checkpoint`` where the cluster names a checkpoint folder, else by a writt
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; on one machine without one, a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="fsweave-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, in storage that survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        root = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
-            root = "file://" + tempfile.mkdtemp(prefix="fsweave-")
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/fsweave/{name}-{uuid.uuid4().hex}"
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 10_000) -> DataFrame:
     """All rows that ``step`` leads to from ``seed``, each once; an error if ``rounds`` do not suffice."""
     seen = new = cut(seed.distinct())
