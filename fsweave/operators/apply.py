@@ -14,6 +14,8 @@ from fsweave.plans.precover import Decomposition
 
 #: Characters with a meaning in regular expressions' classes.
 _CLASS_SPECIALS = "\\]^-[&~"
+#: Characters of a block of a fold; characters of an input beyond which its output is not remembered.
+FOLD, LONG = 256, 64
 
 
 def _class(chars) -> str:
@@ -33,7 +35,7 @@ def translate_column(m: Machine, column: Column) -> Column:
     kept, gone = [p for p in pairs if p[1]], [a for a, b in pairs if not b]
     moved = [(a, b) for a, b in kept if a != b]
     text = F.translate(column, "".join(a for a, _ in moved) + "".join(gone), "".join(b for _, b in moved))
-    return F.when(column.rlike(f"^(?:{_class([a for a, _ in pairs])})*$"), text)
+    return F.when(column.rlike(f"^{_class([a for a, _ in pairs])}*$"), text)
 
 
 def sequential_form(m: Machine, limit: int = 512) -> tuple[list[dict], list[str | None]] | None:
@@ -110,9 +112,10 @@ def sequential_form(m: Machine, limit: int = 512) -> tuple[list[dict], list[str
 def aggregate_column(m: Machine, column: Column) -> Column | None:
     """A machine with a sequential form as a fold over characters, inside the JVM.
 
-    The fold carries the state and the pieces written; pieces are joined once at the
-    end.  Each step looks up one map by state and character.  Inputs outside the domain
-    give null.
+    The fold carries the state and the pieces written; pieces are joined once for each
+    block of ``FOLD`` characters and once at the end, since a fold copies what it carries
+    at each step.  A step looks up one map by state and character.  Inputs outside the
+    domain give null.
     """
     form = sequential_form(m)
     if form is None:
@@ -122,16 +125,21 @@ def aggregate_column(m: Machine, column: Column) -> Column | None:
     values = [F.struct(F.lit(y).alias("y"), F.lit(j).alias("q")) for row in steps for y, j in row.values()]
     lookup = F.map_from_arrays(F.array(*table), F.array(*values))
     nothing = F.lit(None).cast("struct<y:string,q:int>")
-    begin = F.struct(F.lit(0).alias("q"), F.array().cast("array<string>").alias("ys"))
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.lit(0).alias("q"), none.alias("ys"))
 
     def step(acc, c):
         hit = F.when(acc["q"] >= 0, F.try_element_at(lookup, F.concat(acc["q"].cast("string"), F.lit(" "), c))).otherwise(nothing)
         return F.struct(F.coalesce(hit["q"], F.lit(-1)).alias("q"), F.array_append(acc["ys"], F.coalesce(hit["y"], F.lit(""))).alias("ys"))
 
+    def block(acc, text):
+        pieces = F.aggregate(F.split(text, ""), F.struct(acc["q"].alias("q"), none.alias("ys")), step, lambda r: F.struct(r["q"].alias("q"), F.array_join(r["ys"], "").alias("y")))
+        # an array of one, so that the block is folded once and used twice
+        return F.get(F.transform(F.array(pieces), lambda r: F.struct(r["q"].alias("q"), F.array_append(acc["ys"], r["y"]).alias("ys"))), 0)
+
     last = F.map_from_arrays(F.array(*[F.lit(i) for i, y in enumerate(finals) if y is not None]), F.array(*[F.lit(y) for y in finals if y is not None]))
-    chars = F.when(column == "", F.array().cast("array<string>")).otherwise(F.split(column, ""))
-    end = F.aggregate(chars, begin, step)
-    return F.when(column.isNotNull(), F.concat(F.array_join(end["ys"], ""), F.try_element_at(last, end["q"])))
+    end = F.aggregate(F.regexp_extract_all(column, F.lit(f"(?s).{{1,{FOLD}}}"), 0), begin, block, lambda r: F.concat(F.array_join(r["ys"], ""), F.try_element_at(last, r["q"])))
+    return F.when(column.isNotNull(), end)
 
 
 def apply_batches(df: DataFrame, m: Machine, column: str, to: str) -> DataFrame:
@@ -164,6 +172,9 @@ def apply_batches(df: DataFrame, m: Machine, column: str, to: str) -> DataFrame:
                 if x is None:
                     values.append(None)
                     continue
+                if len(x) > LONG:
+                    values.append(one(x))
+                    continue
                 if x not in memo:
                     if len(memo) > 100_000:
                         memo.clear()
@@ -229,7 +240,9 @@ def totalized(value: Column, marker: str) -> Column:
 def regex_of(m: Machine, prefix: bool = False, limit: int = 4000) -> str | None:
     """A regular expression of an acceptor's language, by removing states; None if it grows over ``limit``.
 
-    With ``prefix`` the final states stand for "and anything after".
+    With ``prefix`` the final states stand for "and anything after".  None too if anything
+    but a single class is repeated: Java's matcher recurses into repeated groups and
+    does not survive long strings.
     """
     d = trim(determinize(m)).renumber()
     if not d.states:
@@ -245,13 +258,16 @@ def regex_of(m: Machine, prefix: bool = False, limit: int = 4000) -> str | None:
         grouped[i, j].append(a)
     for (i, j), chars in grouped.items():
         add(i, j, _class(chars))
+    single = {text for text in edge.values() if text is not None}
     for s in d.starts:
         add(begin, s, "")
     for f in d.finals:
         add(f, end, "")
     for q in sorted(d.states, reverse=True):
         loop = edge[q, q]
-        again = f"(?:{loop})*" if loop is not None else ""
+        if loop is not None and loop not in single:
+            return None
+        again = f"{loop}*" if loop is not None else ""
         into = [(i, t) for (i, j), t in list(edge.items()) if j == q and i != q and t is not None]
         out = [(j, t) for (i, j), t in list(edge.items()) if i == q and j != q and t is not None]
         for i, a in into:
@@ -320,6 +336,31 @@ def precover_column(m: Machine, target: str, column: Column) -> Column | None:
     return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
+def flag_parts(df: DataFrame, m: Machine, target: str, column: str, to: str) -> DataFrame:
+    """``df`` with where ``column`` stands in the precover of ``target``: Q (or below a string of Q), R or nothing.
+
+    By patterns, or by a broadcast automaton where these will not do.  A null stands nowhere.
+    """
+    d = Decomposition(m, target)
+    patterns = [(name, regex_of(part, prefix=name == "Q")) for name, part, stops in (("Q", d.quotient, d.q_stops), ("R", d.remainder, d.r_stops)) if stops]
+    if all(text is not None for _, text in patterns):
+        part = F.lit("")
+        for name, text in reversed(patterns):
+            part = F.when(F.col(column).rlike(text.replace("$", r"\z") if text.endswith("$") else text), name).otherwise(part)
+        return df.withColumn(to, part)
+    shared = df.sparkSession.sparkContext.broadcast(d)
+
+    def run(batches):
+        d = shared.value
+        for batch in batches:
+            xs = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            yield batch.append_column(to, pa.array(["" if x is None else d.part_of(x) for x in xs], pa.string()))
+
+    from pyspark.sql.types import StringType, StructType
+
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add(to, StringType()))
+
+
 def filter_by_output(df: DataFrame, m: Machine, column: str, target: str) -> DataFrame:
     """Rows whose output starts with ``target``; by pattern, or by a broadcast automaton if that is too large."""
     test = precover_column(m, target, F.col(column))

@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds of a fixpoint whose rows stay apart.
+PARTS = 16
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; on one machine without one, a temporary folder."""
@@ -42,12 +45,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 10_000) -> DataFrame:
     """All rows that ``step`` leads to from ``seed``, each once; an error if ``rounds`` do not suffice."""
-    seen = new = cut(seed.distinct())
+    new = cut(seed.distinct())
+    parts = [new]
     for _ in range(rounds):
+        seen = parts[0]
+        for part in parts[1:]:
+            seen = seen.unionByName(part)
         new = cut(step(new).select(*seen.columns).distinct().join(seen, seen.columns, "left_anti"))
         if new.isEmpty():
             return seen
-        seen = cut(seen.unionByName(new))
+        # a round writes what it found; the parts are written together now and then
+        parts = [cut(seen.unionByName(new))] if len(parts) >= PARTS else [*parts, new]
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 

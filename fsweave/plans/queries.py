@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fsweave.functions import logmath, rewrite
 from fsweave.operators import algebra, fixpoint, ngram, scoring
-from fsweave.operators.apply import aggregate_column, apply, apply_all, filter_by_output, flag_members, relation_rows, totalized
+from fsweave.operators.apply import aggregate_column, apply, apply_all, filter_by_output, flag_members, flag_parts, relation_rows, totalized
 from fsweave.plans.machine import EPS, Machine
 from fsweave.plans.precover import Decomposition, regions, universal_states
 from fsweave.sources import catalog, corpora
@@ -289,14 +289,8 @@ def q27_precover_filter(spark, sf_dir):
 
 @query(f"WITH {_WORDS} SELECT word, 'th' AS target, CASE WHEN lower(word) LIKE 'th%' THEN 'Q' ELSE '' END AS part FROM w UNION ALL SELECT word, '1', CASE WHEN length(word) % 2 = 0 THEN 'R' ELSE '' END FROM w")
 def q28_decomposition_members(spark, sf_dir):
-    from fsweave.operators.apply import regex_of
-
-    out = []
-    for target, m in (("th", catalog.lowercase()), ("1", over_letters(catalog.parity))):
-        d = Decomposition(m, target)
-        q = F.col("word").rlike(regex_of(d.quotient, prefix=True)) if d.q_stops else F.lit(False)
-        r = F.col("word").rlike(regex_of(d.remainder)) if d.r_stops else F.lit(False)
-        out.append(words(spark, sf_dir).select("word", F.lit(target).alias("target"), F.when(q, "Q").when(r, "R").otherwise("").alias("part")))
+    rows = words(spark, sf_dir).select("word")
+    out = [flag_parts(rows, m, target, "word", "part").withColumn("target", F.lit(target)) for target, m in (("th", catalog.lowercase()), ("1", over_letters(catalog.parity)))]
     return out[0].unionByName(out[1])
 
 

@@ -1,13 +1,14 @@
 """Machines on columns, tables of arcs, rewriting, streams, and the registered queries."""
 
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from fsweave.functions.rewrite import detokenize, separators, treebank_text
 from fsweave.operators import algebra, fixpoint
-from fsweave.operators.apply import accepts_column, aggregate_column, apply, apply_batches, filter_by_output, is_letter_map, regex_of, relation_rows
+from fsweave.operators.apply import accepts_column, aggregate_column, apply, apply_batches, filter_by_output, flag_members, flag_parts, is_letter_map, regex_of, relation_rows
 from fsweave.operators.ngram import NgramModel
 from fsweave.plans.machine import Machine
 from fsweave.plans.precover import strings_below
@@ -42,13 +43,39 @@ def test_filters_move_to_the_source(spark):
     assert "RLIKE" in filter_by_output(df, catalog.newspeak(), "x", "un")._jdf.queryExecution().executedPlan().toString()
 
 
-def test_regular_expressions_of_acceptors(spark):
-    for name in ("triplets", "no_hub", "backticks", "anbn"):
+def test_members_by_pattern_or_automaton(spark):
+    ways = set()
+    for name in ("triplets", "no_hub", "backticks", "anbn", "small", "has_mark"):
         m = catalog.CATALOG[name]().project(0)
-        rows = [("".join(x),) for x in strings_below(m, 6)]
+        rows = [("".join(x),) for x in strings_below(m, 6)] + [(None,)]
         df = spark.createDataFrame(rows, "x string")
-        assert {r.x for r in df.where(accepts_column(m, F.col("x"))).collect()} == {x for (x,) in rows if algebra.accepts(m, x)}
-    assert regex_of(algebra.zero()) is not None
+        pattern = accepts_column(m, F.col("x"))
+        ways.add(pattern is None)
+        want = {x for (x,) in rows if x is not None and algebra.accepts(m, x)}
+        assert {r.x for r in flag_members(df, m, "x", "y").where("y").collect()} == want
+        if pattern is not None:
+            assert {r.x for r in df.where(pattern).collect()} == want
+    assert ways == {True, False} and regex_of(algebra.zero()) is not None
+
+
+def test_long_strings(spark):
+    """Every way of applying a machine is linear in its input and ends well: 100,000 characters."""
+    news, n = catalog.newspeak(), 100_000
+    x = ("xbadba" * (n // 6 + 1))[:n]
+    df = spark.createDataFrame([(x,), (x + "th",), (x + "?",), ("",), (None,)], "x string")
+    want = {len(x): x.replace("bad", "ungood"), len(x) + 2: (x + "th").replace("bad", "ungood"), len(x) + 1: None, 0: ""}
+    begin = time.time()
+    for out in (df.withColumn("y", aggregate_column(news, F.col("x"))), apply_batches(df, news, "x", "y"), apply(df, news, "x", "y")):
+        assert {len(r.x): r.y for r in out.collect() if r.x is not None} == {k: v for k, v in want.items()}
+    letters = spark.createDataFrame([("Ab" * n,)], "x string")
+    assert apply(letters, catalog.lowercase(), "x", "y").first().y == "ab" * n
+    anything, th = algebra.universal(string.ascii_lowercase), algebra.from_string("th")
+    has = algebra.concat(algebra.concat(anything, th), anything)
+    for m, good in ((has, {len(x) + 2}), (algebra.complement(has, string.ascii_lowercase), {0, len(x)}), (algebra.star(algebra.from_strings(["x", "ba", "d"])), {0, len(x)})):
+        assert {len(r.x) for r in flag_members(df, m, "x", "y").where("y").collect()} == good
+    assert filter_by_output(df.where("not contains(x, '?')"), news, "x", "xungoodbax").count() == 2
+    assert {r.p for r in flag_parts(df, catalog.parity(string.ascii_lowercase), "1", "x", "p").collect()} == {"R", ""}
+    assert time.time() - begin < 120
 
 
 def test_relations(spark):

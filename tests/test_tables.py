@@ -119,7 +119,7 @@ class Plain:
         return {c: v / total for c, v in out.items() if v}
 
 
-TARGETS = ["", "abba", "ab", "aabbaab", "b.a", "a;ab", "abz", "bbbbab", None, "ab"]
+TARGETS = ["", "abba", "ab", "aabba", "b.a", "a;ab", "abz", None, "ab"]
 
 
 def test_beams_without_bounds_are_exact(spark):
@@ -148,7 +148,7 @@ def test_bounded_beams_equal_a_plain_beam(spark, k, ratio):
     got = defaultdict(dict)
     for r in found.next_symbols().collect():
         got[r.prefix][r.sym] = r.p
-    for y in ["", "ab", "abba", "aabbaab", "bbbbab", "b.a"]:
+    for y in ["", "ab", "abba", "aabba", "b.a"]:
         want = plain.nexts(plain.beam(y, k, ratio)) if plain.beam(y, k, ratio) else {}
         assert got[y].keys() == want.keys() and all(abs(got[y][c] - want[c]) < 1e-9 for c in want)
 
@@ -194,8 +194,8 @@ def targets_of(m, length):
 
 @pytest.mark.parametrize("name", MACHINES)
 def test_decompositions_equal_a_search_for_each_target(spark, name):
-    m, longest = MACHINES[name], 6
-    targets = targets_of(m, 3)
+    m, longest = MACHINES[name], 5
+    targets = targets_of(m, 2)
     made = Precovers(spark, m).decompose(spark.createDataFrame([("".join(y),) for y in targets] + [(None,)], "x string"), "x", longest)
     pairs = made.pairs().select("target", "source").collect()
     assert len(pairs) == len(set(pairs))  # no pair is worked out twice
@@ -213,8 +213,8 @@ def test_decompositions_equal_a_search_for_each_target(spark, name):
 
 @pytest.mark.parametrize("name", ["newspeak", "duplicate", "late"])
 def test_one_search_gives_all_next_symbols(spark, name):
-    m, longest = MACHINES[name], 7
-    targets = targets_of(m, 2)
+    m, longest = MACHINES[name], 5
+    targets = targets_of(m, 1)
     df = spark.createDataFrame([("".join(y),) for y in targets], "x string")
     got = defaultdict(set)
     for r in Precovers(spark, m).decompose(df, "x", longest).next_symbols(df, "x", longest).collect():
