@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fsweave.operators import beams, ngram
+from fsweave.operators import beams, graphs, ngram
+from fsweave.operators.fixpoint import cut
 from fsweave.operators.precovers import Precovers
 from fsweave.plans.queries import _LOWER, lower_words, query
 from fsweave.sources import catalog, corpora
@@ -122,3 +123,104 @@ def q64_next_symbol_search(spark, sf_dir):
     made = Precovers(spark, catalog.newspeak()).decompose(starts, "x").next_symbols(starts, "x")
     q, r = (F.when(F.col("part") == p, F.col("source")) for p in "QR")
     return made.groupBy("target", "sym").agg(F.count(q).alias("n_q"), F.count(r).alias("n_r"), F.max(q).alias("last_q"), F.max(r).alias("last_r"))
+
+
+# Machines that are tables of arcs, made from parts
+
+
+def part(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
+
+
+def letters_of(df: DataFrame, column: str) -> DataFrame:
+    """(x, before, c, after): each letter of each string, with the string's start before and after it."""
+    at = F.explode(F.sequence(F.lit(1), F.length("x")))
+    rows = df.select(F.col(column).alias("x")).where(F.length("x") > 0).distinct().select("x", at.alias("k"))
+    return rows.select("x", F.expr("left(x, k - 1)").alias("before"), F.expr("substring(x, k, 1)").alias("c"), F.expr("left(x, k)").alias("after"))
+
+
+def ends_of(arcs: DataFrame, finals: DataFrame) -> DataFrame:
+    """States of arcs that start at the empty string."""
+    names = arcs.select(F.col("src").alias("state")).union(arcs.select("dst")).distinct()
+    marked = names.join(finals.select(F.col("x").alias("state")).distinct().withColumn("f", F.lit(True)), "state", "left")
+    return marked.select("state", (F.col("state") == "").alias("is_start"), F.coalesce("f", F.lit(False)).alias("is_final"))
+
+
+_NAMES = """t AS (SELECT DISTINCT p_name || ' ' || p_type AS x FROM part), k AS (SELECT x, unnest(range(0, length(x))) AS k FROM t),
+c AS (SELECT DISTINCT left(x, CAST(k AS INT)) AS a, substr(x, CAST(k AS INT) + 1, 1) AS c, left(x, CAST(k AS INT) + 1) AS b FROM k),
+f AS (SELECT a AS src, c AS i, CASE WHEN c = ' ' THEN '' ELSE c END AS o, b AS dst FROM c),
+g AS (
+  SELECT replace(a, ' ', '') AS src, c AS i, c AS o, replace(b, ' ', '') AS dst FROM c WHERE c <> ' '
+  UNION SELECT replace(a, ' ', ''), '', ' ', replace(a, ' ', '') || ' ' FROM c WHERE c = ' '
+  UNION SELECT replace(a, ' ', '') || ' ', c, c, replace(b, ' ', '') FROM c WHERE ends_with(a, ' ') AND c <> ' ')"""
+
+
+@query(
+    f"""WITH RECURSIVE {_NAMES},
+s(p, q, turn) AS (
+  SELECT '', '', 0 UNION
+  SELECT p2, q2, turn2 FROM (
+    SELECT f.dst AS p2, g.dst AS q2, 0 AS turn2 FROM s JOIN f ON f.src = s.p JOIN g ON g.src = s.q AND g.i = f.o WHERE f.o <> '' OR turn = 0
+    UNION ALL SELECT f.dst, s.q, 1 FROM s JOIN f ON f.src = s.p AND f.o = '' WHERE turn < 2
+    UNION ALL SELECT s.p, g.dst, 2 FROM s JOIN g ON g.src = s.q AND g.i = '' WHERE turn <> 1)),
+m AS (
+  SELECT s.*, f.i, g.o, f.dst AS p2, g.dst AS q2, 0 AS turn2 FROM s JOIN f ON f.src = s.p JOIN g ON g.src = s.q AND g.i = f.o WHERE f.o <> '' OR turn = 0
+  UNION SELECT s.*, f.i, '', f.dst, s.q, 1 FROM s JOIN f ON f.src = s.p AND f.o = '' WHERE turn < 2
+  UNION SELECT s.*, '', g.o, s.p, g.dst, 2 FROM s JOIN g ON g.src = s.q AND g.i = '' WHERE turn <> 1)
+SELECT p || '|' || q || '|' || turn AS src, i AS ilabel, o AS olabel, p2 || '|' || q2 || '|' || turn2 AS dst, p2 IN (SELECT x FROM t) AND q2 IN (SELECT replace(x, ' ', '') FROM t) AS ends FROM m"""
+)
+def q65_silent_composition(spark, sf_dir):
+    """The machine that drops spaces from names with types, and then the one that puts them back where some name has them."""
+    steps = letters_of(part(spark, sf_dir).select(F.concat_ws(" ", "p_name", "p_type").alias("x")), "x")
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    f = steps.select(F.col("before").alias("src"), F.col("c").alias("ilabel"), F.when(F.col("c") == " ", "").otherwise(F.col("c")).alias("olabel"), F.col("after").alias("dst")).distinct()
+    plain = steps.where("c <> ' '").select(bare("before").alias("src"), F.col("c").alias("ilabel"), F.col("c").alias("olabel"), bare("after").alias("dst"))
+    gap = steps.where("c = ' '").select(bare("before").alias("src"), F.lit("").alias("ilabel"), F.lit(" ").alias("olabel"), F.concat(bare("before"), F.lit(" ")).alias("dst"))
+    on = steps.where("c <> ' ' AND endswith(before, ' ')").select(F.concat(bare("before"), F.lit(" ")).alias("src"), F.col("c").alias("ilabel"), F.col("c").alias("olabel"), bare("after").alias("dst"))
+    f, g = cut(f), cut(plain.unionByName(gap).unionByName(on).distinct())
+    arcs, states = graphs.compose_silent(f, ends_of(f, steps), g, ends_of(g, steps.select(bare("x").alias("x"))))
+    named = lambda c: F.concat_ws("|", f"{c}.p", f"{c}.q", f"{c}.turn")
+    ends = states.select(F.col("state").alias("dst"), F.col("is_final").alias("ends"))
+    return arcs.join(ends, "dst").select(named("src").alias("src"), "ilabel", "olabel", named("dst").alias("dst"), "ends")
+
+
+def pair_machine(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs and states of a relation (x, y): the trie of the inputs, and a silent arc that writes y after each."""
+    read = letters_of(pairs, "x").select(F.col("before").alias("src"), F.col("c").alias("ilabel"), F.lit("").alias("olabel"), F.col("after").alias("dst")).distinct()
+    end = pairs.select(F.col("x").alias("src"), F.lit("").alias("ilabel"), F.col("y").alias("olabel"), F.concat("x", F.lit(">"), "y").alias("dst")).distinct()
+    arcs = cut(read.unionByName(end))
+    return arcs, ends_of(arcs, end.select(F.col("dst").alias("x")))
+
+
+@query(
+    """WITH a AS (SELECT 'type' AS machine, p_brand || '/' || p_size AS x, p_type AS y FROM part UNION ALL SELECT 'brand', p_name || '/' || p_brand, p_brand FROM part)
+SELECT machine, x, CAST(count(DISTINCT y) AS BIGINT) AS outputs FROM a GROUP BY machine, x HAVING count(DISTINCT y) > 1"""
+)
+def q66_functionality(spark, sf_dir):
+    """Inputs with two outputs, found as conflicting leads: types by brand and size; brands by name and brand have none."""
+    rows, out = part(spark, sf_dir), None
+    for name, x, y in (("type", ("p_brand", "p_size"), "p_type"), ("brand", ("p_name", "p_brand"), "p_brand")):
+        pairs = rows.select(F.concat_ws("/", *x).alias("x"), F.col(y).alias("y"))
+        wrong = graphs.conflicts(*pair_machine(pairs), first=False).select("p", "q").where("contains(p, '>') AND contains(q, '>') AND p <> q")
+        one = wrong.select(F.substring_index("p", ">", 1).alias("x"), "p").groupBy("x").agg(F.countDistinct("p").alias("outputs")).select(F.lit(name).alias("machine"), "x", "outputs")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT p_partkey AS k, p_type AS m, p_brand || '/' || p_size AS v FROM part),
+a AS (SELECT DISTINCT x.v AS src, y.v AS dst FROM n x JOIN n y ON y.k BETWEEN x.k + 1 AND x.k + 5 AND x.m = y.m),
+r(src, dst) AS (SELECT src, dst FROM a UNION SELECT r.src, a.dst FROM r JOIN a ON r.dst = a.src),
+s AS (SELECT DISTINCT v AS state FROM n),
+c AS (SELECT r.src AS state, min(r.dst) AS low FROM r JOIN r AS b ON b.src = r.dst AND b.dst = r.src GROUP BY r.src),
+y AS (SELECT src AS state FROM r WHERE src = dst)
+SELECT s.state, least(s.state, coalesce(c.low, s.state)) AS component, s.state IN (SELECT state FROM y) AS cyclic,
+  s.state NOT IN (SELECT state FROM y UNION SELECT src FROM r WHERE dst IN (SELECT state FROM y)) AS finite
+FROM s LEFT JOIN c USING (state)"""
+)
+def q67_components(spark, sf_dir):
+    """Brands and sizes that follow one another within five parts of one type: components, cycles, and where every path ends."""
+    node = part(spark, sf_dir).select(F.col("p_partkey").alias("k"), F.col("p_type").alias("m"), F.concat_ws("/", "p_brand", "p_size").alias("v"))
+    ahead = node.select(F.col("v").alias("src"), "m", F.explode(F.array(*[F.col("k") + i for i in range(1, 6)])).alias("k"))
+    arcs = cut(ahead.join(node.withColumnRenamed("v", "dst"), ["k", "m"]).select("src", "dst").distinct())
+    return graphs.endless(arcs, node.select(F.col("v").alias("state")).distinct())
