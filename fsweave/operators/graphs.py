@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fsweave.operators.fixpoint import cut, fixpoint
+from fsweave.operators.fixpoint import PARTS, cut, fixpoint
 
 # Composition
 
@@ -88,25 +88,32 @@ def conflicts(arcs: DataFrame, states: DataFrame, first: bool = True) -> DataFra
     back = edges.select(F.col("p2").alias("p"), F.col("q2").alias("q"), F.col("p").alias("p1"), F.col("q").alias("q1"))
     live = fixpoint(ends, lambda new: new.join(back, ["p", "q"]).select(F.col("p1").alias("p"), F.col("q1").alias("q")))
     edges = cut(edges.join(live.select(F.col("p").alias("p2"), F.col("q").alias("q2")), ["p2", "q2"], "left_semi"))
-    known = new = cut(begin.join(live, ["p", "q"], "left_semi").select("p", "q", F.lit("").alias("left"), F.lit("").alias("right")))
-    wrong: list[DataFrame] = []
+    new = cut(begin.join(live, ["p", "q"], "left_semi").select("p", "q", F.lit("").alias("left"), F.lit("").alias("right")))
     lead = lambda a, b: F.when(F.startswith(a, F.col(b)), F.expr(f"substring({a}, length({b}) + 1)")).otherwise(F.when(F.startswith(b, F.col(a)), "").otherwise(F.col(a)))
+    parts, wrong = [new], []
+    at_end = ends.withColumn("ends", F.lit(True))
     while True:
-        bad = cut(new.where("left <> '' OR right <> ''").join(ends, ["p", "q"], "left_semi"))
-        moved = new.join(bad, ["p", "q"], "left_anti").join(edges, ["p", "q"]).select(F.col("p2").alias("p"), F.col("q2").alias("q"), F.concat("left", "u").alias("l"), F.concat("right", "v").alias("r"))
+        moved = new.join(edges, ["p", "q"]).select(F.col("p2").alias("p"), F.col("q2").alias("q"), F.concat("left", "u").alias("l"), F.concat("right", "v").alias("r"))
         parted = ~(F.startswith("l", F.col("r")) | F.startswith("r", F.col("l")))
-        leads = cut(moved.select("p", "q", lead("l", "r").alias("left"), lead("r", "l").alias("right"), parted.alias("parted")).distinct())
-        seen = known.withColumn("parted", F.lit(False)).unionByName(leads)
-        twice = seen.groupBy("p", "q").agg(F.countDistinct("left", "right").alias("n"), F.max("parted").alias("parted")).where("n > 1 OR parted").select("p", "q")
-        worse = cut(leads.join(twice, ["p", "q"], "left_semi").select("p", "q", "left", "right"))
-        wrong += [bad, worse]
-        new = cut(leads.drop("parted").join(known, ["p", "q"], "left_anti").join(worse, ["p", "q"], "left_anti"))
-        if new.isEmpty() or (first and not bad.unionByName(worse).isEmpty()):
-            out = wrong[0]
-            for part in wrong[1:]:
-                out = out.unionByName(part)
-            return out.distinct()
-        known = cut(known.unionByName(new))
+        leads = moved.select("p", "q", lead("l", "r").alias("left"), lead("r", "l").alias("right"), parted.alias("parted")).distinct()
+        known = union_of(parts).select("p", "q", F.struct("left", "right").alias("before"))
+        groups = leads.groupBy("p", "q").agg(F.min(F.struct("left", "right")).alias("low"), F.max(F.struct("left", "right")).alias("high"), F.max("parted").alias("parted"))
+        groups = groups.join(known, ["p", "q"], "left").join(at_end, ["p", "q"], "left")
+        bad = F.col("parted") | (F.col("low") != F.col("high")) | F.coalesce(F.col("low") != F.col("before"), F.lit(False))
+        bad = bad | (F.coalesce("ends", F.lit(False)) & ((F.col("low.left") != "") | (F.col("low.right") != "")))
+        round_ = cut(groups.select("p", "q", "low.*", bad.alias("bad"), F.col("before").isNull().alias("fresh")))
+        wrong.append(round_.where("bad").select("p", "q", "left", "right"))
+        new = round_.where("fresh AND NOT bad").select("p", "q", "left", "right")
+        if new.isEmpty() or (first and not wrong[-1].isEmpty()):
+            return union_of(wrong).distinct()
+        parts = [cut(union_of([*parts, new]))] if len(parts) >= PARTS else [*parts, new]
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 # Components
@@ -151,9 +158,7 @@ def components(arcs: DataFrame, states: DataFrame) -> DataFrame:
             gone = done.select("state")
         rest = cut(rest.join(gone, "state", "left_anti"))
         hop = cut(hop.join(rest.withColumnRenamed("state", "src"), "src", "left_semi").join(rest.withColumnRenamed("state", "dst"), "dst", "left_semi"))
-    out = states.select("state", F.col("state").alias("component"), F.lit(1).alias("n")).limit(0)
-    for part in settled:
-        out = out.unionByName(part)
+    out = union_of([states.select("state", F.col("state").alias("component"), F.lit(1).alias("n")).limit(0), *settled])
     return out.join(loops.withColumn("loop", F.lit(True)), "state", "left").select("state", "component", ((F.col("n") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic"))
 
 

@@ -198,13 +198,13 @@ SELECT machine, x, CAST(count(DISTINCT y) AS BIGINT) AS outputs FROM a GROUP BY
 )
 def q66_functionality(spark, sf_dir):
     """Inputs with two outputs, found as conflicting leads: types by brand and size; brands by name and brand have none."""
-    rows, out = part(spark, sf_dir), None
+    rows, pairs = part(spark, sf_dir), None
     for name, x, y in (("type", ("p_brand", "p_size"), "p_type"), ("brand", ("p_name", "p_brand"), "p_brand")):
-        pairs = rows.select(F.concat_ws("/", *x).alias("x"), F.col(y).alias("y"))
-        wrong = graphs.conflicts(*pair_machine(pairs), first=False).select("p", "q").where("contains(p, '>') AND contains(q, '>') AND p <> q")
-        one = wrong.select(F.substring_index("p", ">", 1).alias("x"), "p").groupBy("x").agg(F.countDistinct("p").alias("outputs")).select(F.lit(name).alias("machine"), "x", "outputs")
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = rows.select(F.concat_ws("/", F.lit(name), *x).alias("x"), F.col(y).alias("y"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    wrong = graphs.conflicts(*pair_machine(pairs), first=False).where("contains(p, '>') AND contains(q, '>')")
+    names = wrong.select(F.substring_index("p", ">", 1).alias("name"), "p").groupBy("name").agg(F.countDistinct("p").alias("outputs"))
+    return names.select(F.substring_index("name", "/", 1).alias("machine"), F.expr("substring(name, instr(name, '/') + 1)").alias("x"), "outputs")
 
 
 @query(
