@@ -45,8 +45,8 @@ class HubTables:
 
     ``masses`` (state, ctx, node, mass): probability of the tokens whose spellings start
     with a node.  ``ends`` (state, ctx, node, next, to, p): tokens whose spelling is the
-    node, with all silent tokens that can follow.  Both are kept parted by their keys, so
-    that steps need not shuffle them again.
+    node, with all silent tokens that can follow.  Both are kept parted and sorted by their keys,
+    so that steps need not shuffle or sort them again.
     """
 
     def __init__(self, moves: DataFrame, model: DataFrame, starts: list, finals: list):
@@ -55,10 +55,10 @@ class HubTables:
         at = F.explode(F.sequence(F.lit(1), F.length("spelling")))
         spread = both.where("spelling <> ''").select("state", "ctx", F.col("spelling").alias("s"), "p", at.alias("k"))
         keys = ["state", "ctx", "node"]
-        self.masses = cut(spread.groupBy("state", "ctx", F.expr("left(s, k)").alias("node")).agg(F.sum("p").alias("mass")).repartition(*keys))
+        self.masses = cut(spread.groupBy("state", "ctx", F.expr("left(s, k)").alias("node")).agg(F.sum("p").alias("mass")).repartition(*keys).sortWithinPartitions(*keys))
         self.silent = both.where("spelling = ''").select("state", "ctx", "next", "to", "p")
         plain = both.where("spelling <> ''").select("state", "ctx", F.col("spelling").alias("node"), "next", "to", "p")
-        self.ends = cut(self.quietly(plain, keys).repartition(*keys))
+        self.ends = cut(self.quietly(plain, keys).repartition(*keys).sortWithinPartitions(*keys))
 
     @cached_property
     def has_silent(self) -> bool:
@@ -155,7 +155,7 @@ def decode(targets: DataFrame, column: str, tables: HubTables, k: int | None = N
         beam = spark.read.schema(schema).parquet(f"{path}/depth={depth}")
         moved = beam.join(edges.where(F.col("depth") == depth).select("prefix", "sym"), "prefix")
         moved = moved.select(F.concat("prefix", "sym").alias("prefix"), "state", "ctx", F.concat("node", "sym").alias("node"), "w", "logz").join(tables.masses, ["state", "ctx", "node"])
-        moved = moved.withColumn("share", F.col("w") * F.col("mass"))
+        moved = cut(moved.withColumn("share", F.col("w") * F.col("mass")))
         totals = moved.groupBy("prefix").agg(F.sum("share").alias("total"), F.max("share").alias("top"))
         if k is not None:
             moved = moved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -163,7 +163,6 @@ def decode(targets: DataFrame, column: str, tables: HubTables, k: int | None = N
             moved = moved.join(totals.select("prefix", "top"), "prefix").where(F.col("share") * ratio >= F.col("top"))
         kept = moved.join(totals.select("prefix", "total"), "prefix").where("total > 0")
         kept = kept.select("prefix", "state", "ctx", "node", (F.col("w") / F.col("total")).alias("w"), (F.col("logz") + F.ln("total")).alias("logz"), (F.col("share") / F.col("total")).alias("share"))
-        kept = cut(kept)
         able = kept.where(F.col("share") >= extend) if extend else kept
         if most is not None:
             ending = able.join(tables.ends.select("state", "ctx", "node").distinct(), ["state", "ctx", "node"], "left_semi")

@@ -33,8 +33,8 @@ def token_sequences(words: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
 
 def spelling_tables(spark, sf_dir) -> tuple[DataFrame, beams.HubTables]:
     """The words, and the machine that writes letters in lower case and signs not at all, under a bigram model of tokens."""
-    words = marked_words(spark, sf_dir)
-    model = beams.context_model(ngram.ngram_counts(token_sequences(words), 2, " ", "n"), 2)
+    words = cut(marked_words(spark, sf_dir))
+    model = cut(beams.context_model(ngram.ngram_counts(token_sequences(words), 2, " ", "n"), 2))
     tokens = model.where(F.col("to").isNotNull()).select("token").distinct()
     sign = F.col("token").rlike("^[^A-Za-z]")
     moves = tokens.select(F.lit("word").alias("state"), "token", F.when(sign, "").otherwise(F.lower("token")).alias("spelling"), F.when(sign, "end").otherwise("word").alias("next"))
@@ -193,14 +193,14 @@ def pair_machine(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    """WITH a AS (SELECT 'type' AS machine, p_brand || '/' || p_size AS x, p_type AS y FROM part UNION ALL SELECT 'brand', p_name || '/' || p_brand, p_brand FROM part)
+    """WITH a AS (SELECT 't' AS machine, replace(p_brand, 'Brand#', '') || '/' || p_size AS x, p_type AS y FROM part UNION ALL SELECT 'b', replace(p_brand, 'Brand#', '') || '/' || p_size, p_brand FROM part)
 SELECT machine, x, CAST(count(DISTINCT y) AS BIGINT) AS outputs FROM a GROUP BY machine, x HAVING count(DISTINCT y) > 1"""
 )
 def q66_functionality(spark, sf_dir):
-    """Inputs with two outputs, found as conflicting leads: types by brand and size; brands by name and brand have none."""
+    """Inputs with two outputs, found as conflicting leads: brand and size leave the type open (t), but not the brand (b)."""
     rows, pairs = part(spark, sf_dir), None
-    for name, x, y in (("type", ("p_brand", "p_size"), "p_type"), ("brand", ("p_name", "p_brand"), "p_brand")):
-        one = rows.select(F.concat_ws("/", F.lit(name), *x).alias("x"), F.col(y).alias("y"))
+    for name, y in (("t", "p_type"), ("b", "p_brand")):
+        one = rows.select(F.concat_ws("/", F.lit(name), F.replace("p_brand", F.lit("Brand#"), F.lit("")), "p_size").alias("x"), F.col(y).alias("y"))
         pairs = one if pairs is None else pairs.unionByName(one)
     wrong = graphs.conflicts(*pair_machine(pairs), first=False).where("contains(p, '>') AND contains(q, '>')")
     names = wrong.select(F.substring_index("p", ">", 1).alias("name"), "p").groupBy("name").agg(F.countDistinct("p").alias("outputs"))
