@@ -89,7 +89,9 @@ class Beams:
     """The decoded prefixes of a column of targets.
 
     ``rows`` has (depth, prefix, state, ctx, node, w, logz), with the hypotheses carried on
-    from each prefix; it lies in the shared folder until :meth:`drop`.
+    from each prefix; it lies in the shared folder until :meth:`drop`.  Executors add a
+    prefix's shares in any order, so ``logz`` is the same in all its rows but for the last
+    digits: nothing may be grouped or joined by it.
     """
 
     def __init__(self, rows: DataFrame, path: str, tables: HubTables):
@@ -103,7 +105,7 @@ class Beams:
         """(prefix, logz, mass): weight of the sources whose output is the prefix."""
         end = self.tables.model.where(F.col("token") == EOS).select("ctx", "p")
         rows = self.rows.where((F.col("node") == "") & F.col("state").isin(self.tables.finals)).join(end, "ctx")
-        return rows.groupBy("prefix", "logz").agg(F.sum(F.col("w") * F.col("p")).alias("mass"))
+        return rows.groupBy("prefix").agg(F.max("logz").alias("logz"), F.sum(F.col("w") * F.col("p")).alias("mass"))
 
     def logprob(self) -> DataFrame:
         """(prefix, logp): log probability that an output is the prefix."""
@@ -156,18 +158,18 @@ def decode(targets: DataFrame, column: str, tables: HubTables, k: int | None = N
         moved = beam.join(edges.where(F.col("depth") == depth).select("prefix", "sym"), "prefix")
         moved = moved.select(F.concat("prefix", "sym").alias("prefix"), "state", "ctx", F.concat("node", "sym").alias("node"), "w", "logz").join(tables.masses, ["state", "ctx", "node"])
         moved = cut(moved.withColumn("share", F.col("w") * F.col("mass")))
-        totals = moved.groupBy("prefix").agg(F.sum("share").alias("total"), F.max("share").alias("top"))
+        totals = moved.groupBy("prefix").agg(F.sum("share").alias("total"), F.max("share").alias("top"), F.max("logz").alias("before"))
         if k is not None:
             moved = moved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         if ratio is not None:
             moved = moved.join(totals.select("prefix", "top"), "prefix").where(F.col("share") * ratio >= F.col("top"))
-        kept = moved.join(totals.select("prefix", "total"), "prefix").where("total > 0")
-        kept = kept.select("prefix", "state", "ctx", "node", (F.col("w") / F.col("total")).alias("w"), (F.col("logz") + F.ln("total")).alias("logz"), (F.col("share") / F.col("total")).alias("share"))
+        kept = moved.join(totals.select("prefix", "total", "before"), "prefix").where("total > 0")
+        kept = kept.select("prefix", "state", "ctx", "node", (F.col("w") / F.col("total")).alias("w"), (F.col("before") + F.ln("total")).alias("logz"), (F.col("share") / F.col("total")).alias("share"))
         able = kept.where(F.col("share") >= extend) if extend else kept
         if most is not None:
             ending = able.join(tables.ends.select("state", "ctx", "node").distinct(), ["state", "ctx", "node"], "left_semi")
             able = ending.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-        begun = able.join(tables.ends, ["state", "ctx", "node"]).groupBy("prefix", "logz", "next", "to").agg(F.sum(F.col("w") * F.col("p")).alias("w"))
+        begun = able.join(tables.ends, ["state", "ctx", "node"]).groupBy("prefix", "next", "to").agg(F.sum(F.col("w") * F.col("p")).alias("w"), F.max("logz").alias("logz"))
         begun = begun.select("prefix", F.col("next").alias("state"), F.col("to").alias("ctx"), F.lit("").alias("node"), "w", "logz")
         kept.drop("share").unionByName(begun).write.parquet(f"{path}/depth={depth + 1}")
     rows = spark.read.schema(schema + ", depth int").option("basePath", path).parquet(path)
